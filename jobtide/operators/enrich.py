@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobtide.functions import roles as rl
 from jobtide.functions import scoring
@@ -157,7 +159,6 @@ def skill_evidence(spark: SparkSession, taxonomy: Taxonomy) -> DataFrame:
     no step below needs a shuffle.
     """
     profile = occupation_profile(taxonomy.profile_frame(spark), taxonomy.occupation_frame(spark))
-    extent = profile.agg(F.min("wage").alias("low"), F.max("wage").alias("high"))
     examples = taxonomy.example_frame(spark).groupBy("skill").agg(
         F.concat_ws(
             " | ", F.transform(F.array_sort(F.collect_list(F.struct("position", "workplace_example"))),
@@ -165,12 +166,11 @@ def skill_evidence(spark: SparkSession, taxonomy: Taxonomy) -> DataFrame:
         ).alias("examples")
     ).hint("broadcast")
     verified = F.col("examples").isNotNull()
+    everything = W.partitionBy()
     return profile.join(examples, "skill", "left").select(
         "skill",
-        scoring.wage_score(
-            F.col("wage"), extent.select("low").scalar(), extent.select("high").scalar()
-        ).alias("salary_evidence"),
-        scoring.growth_score(F.col("mean_growth")).alias("growth_evidence"),
+        scoring.wage_score(F.col("wage"), F.min("wage").over(everything), F.max("wage").over(everything)).alias("salary_evidence"),
+        scoring.growth_score(F.col("mean_growth")).cast("int").alias("growth_evidence"),
         F.when(verified, F.lit(occupations.VERIFIED_SOURCE)).otherwise(F.lit(occupations.MAPPED_SOURCE)).alias("taxonomy_source"),
         F.when(verified, F.lit("software_skill_verified")).otherwise(F.lit("occupation_mapping_only")).alias("onet_evidence_status"),
         F.coalesce("examples", F.lit("")).alias("onet_workplace_examples"),
@@ -186,6 +186,23 @@ def skill_evidence(spark: SparkSession, taxonomy: Taxonomy) -> DataFrame:
     ).hint("broadcast")
 
 
+_attributes: dict[tuple[str, int], tuple[Taxonomy, list, T.StructType]] = {}
+
+
+def skill_attributes(spark: SparkSession, taxonomy: Taxonomy) -> DataFrame:
+    """Taxonomy attributes and occupation evidence of every skill, one row each.
+
+    Both come from the taxonomy's literals, so they are evaluated once per taxonomy and kept as
+    literals; a plan that scores skills then carries one small table instead of their derivation.
+    """
+    key = (spark.sparkContext.applicationId, id(taxonomy))
+    if key not in _attributes:
+        both = taxonomy.attributes(spark).join(skill_evidence(spark, taxonomy), "skill", "full")
+        _attributes[key] = (taxonomy, [tuple(r) for r in both.collect()], both.schema)
+    _, rows_, schema = _attributes[key]
+    return literal_frame(spark, rows_, T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields]))
+
+
 def build_evidence(software_skills: DataFrame, profiles: DataFrame, examples: DataFrame) -> DataFrame:
     """Rows that verify a tracked skill: its workplace example within an occupation of its profile."""
     expected = examples.select("skill", "workplace_example").join(profiles.select("skill", "soc_code"), "skill")

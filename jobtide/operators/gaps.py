@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobtide.functions import scoring
 from jobtide.functions.scalars import number
 from jobtide.functions.text import text_list
-from jobtide.operators.enrich import skill_evidence
-from jobtide.operators.medians import band_counts, exact_median, value_counts
+from jobtide.operators.enrich import skill_attributes
+from jobtide.operators.medians import exact_median
 from jobtide.taxonomy import DEFAULT_CATEGORY, DEFAULT_FAMILY, DEFAULT_ROLE, DEFAULT_SIGNAL, Taxonomy, builtin
 from jobtide.values import occupations
 
@@ -44,115 +45,94 @@ def skill_counts(df: DataFrame, out: str = "records") -> DataFrame:
 
 
 def salary_baseline(jobs: DataFrame) -> DataFrame:
-    """One row at most: the exact median of all salary midpoints.  No row without any midpoint."""
+    """One row: the exact median of all salary midpoints, null without any."""
     values = jobs.select(F.lit(0).alias("g"), midpoint(jobs).alias("value"))
-    return exact_median(value_counts(values, ["g"], "value"), ["g"], "value", "baseline").select("baseline")
+    return exact_median(values, ["g"], "value", "baseline").select("baseline")
 
 
-def skill_demand(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Demand and median salary midpoint per skill, both from one pass over the exploded jobs."""
-    pairs = explode_skills(jobs, midpoint(jobs).alias("value"))
-    counts = value_counts(pairs, ["skill"], "value")
-    demand = band_counts(counts, ["skill"], "value").groupBy("skill").agg(F.sum("n").alias("job_demand"))
-    return demand, exact_median(counts, ["skill"], "value", "median_salary")
+# the key under which every job counts once, whatever its skills; no skill is blank
+_EVERY_JOB = ""
 
 
-def salary_premium(jobs: DataFrame, taxonomy: Taxonomy | None = None) -> DataFrame:
-    """Salary premium score per skill found in the jobs.
+def skill_totals(jobs: DataFrame, courses: DataFrame | None = None) -> DataFrame:
+    """Per skill: demand, supply, median salary midpoint, and the baseline over all jobs.
 
-    Occupation evidence comes first, then the median midpoint against the baseline, then the
-    taxonomy's own signal.
+    One pass over the jobs serves all of it.  Every job is also counted under a blank key, whose
+    median is the baseline.
     """
-    spark = jobs.sparkSession
-    taxonomy = taxonomy or builtin()
-    demand, medians = skill_demand(jobs)
-    return (
-        demand.join(medians, "skill", "left")
-        .join(taxonomy.attributes(spark).select("skill", "salary_signal"), "skill", "left")
-        .join(skill_evidence(spark, taxonomy).select("skill", "salary_evidence").hint("broadcast"), "skill", "left")
-        .select(
-            "skill",
-            F.col("median_salary"),
-            F.coalesce(
-                "salary_evidence",
-                scoring.premium_score(F.col("median_salary"), salary_baseline(jobs).scalar()).cast("int"),
-                "salary_signal",
-                F.lit(DEFAULT_SIGNAL[1]),
-            ).alias("salary_premium_score"),
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    named = F.filter(skill_list(jobs), lambda s: F.trim(s) != "")
+    keys = F.concat(F.coalesce(named, F.array().cast("array<string>")), F.array(F.lit(_EVERY_JOB)))
+    rows = jobs.select(F.explode(keys).alias("skill"), midpoint(jobs).alias("value"), one.alias("job_demand"), zero.alias("course_supply"))
+    if courses is not None:
+        rows = rows.unionByName(
+            explode_skills(courses, F.lit(None).cast("double").alias("value"), zero.alias("job_demand"), one.alias("course_supply"))
         )
+    per_skill = exact_median(rows, ["skill"], "value", "median_salary", ["job_demand", "course_supply"])
+    # one row per skill is left, so a window over all of them stays small whatever the jobs hold
+    everything = W.partitionBy()
+    is_skill = F.col("skill") != _EVERY_JOB
+    return per_skill.select(
+        "*",
+        F.max(F.when(is_skill, F.col("job_demand"))).over(everything).alias("most_demand"),
+        F.max(F.when(is_skill, F.col("course_supply"))).over(everything).alias("most_supply"),
+        F.max(F.when(~is_skill, F.col("median_salary"))).over(everything).alias("baseline"),
+    ).where(is_skill)
+
+
+def _premium() -> Column:
+    """Occupation evidence first, then the median against the baseline, then the taxonomy's signal."""
+    return F.coalesce(
+        "salary_evidence",
+        scoring.premium_score(F.col("median_salary"), F.col("baseline")).cast("int"),
+        "salary_signal",
+        F.lit(DEFAULT_SIGNAL[1]),
     )
 
 
-def skill_gap_summary(jobs: DataFrame, courses: DataFrame, taxonomy: Taxonomy | None = None) -> DataFrame:
-    """Demand, supply, scores and evidence of every skill in the jobs or courses, best first.
+def salary_premium(jobs: DataFrame, taxonomy: Taxonomy | None = None) -> DataFrame:
+    """Salary premium score per skill found in the jobs."""
+    known = skill_attributes(jobs.sparkSession, taxonomy or builtin())
+    joined = skill_totals(jobs).join(known.select("skill", "salary_signal", "salary_evidence").hint("broadcast"), "skill", "left")
+    return joined.select("skill", "median_salary", _premium().alias("salary_premium_score"))
 
-    The jobs are exploded and counted once per (skill, midpoint); demand, medians and the baseline
-    all start from counts of that kind.  Everything after is a handful of rows per skill.
-    """
-    spark = jobs.sparkSession
-    taxonomy = taxonomy or builtin()
-    demand, medians = skill_demand(jobs)
-    supply = skill_counts(courses, "course_supply")
-    zero = F.lit(0).cast("long")
-    totals = (
-        demand.withColumn("course_supply", zero)
-        .unionByName(supply.withColumn("job_demand", zero))
-        .groupBy("skill")
-        .agg(F.sum("job_demand").alias("job_demand"), F.sum("course_supply").alias("course_supply"))
-    )
-    most_demand = demand.agg(F.coalesce(F.max("job_demand"), zero)).scalar()
-    most_supply = supply.agg(F.coalesce(F.max("course_supply"), zero)).scalar()
-    baseline = salary_baseline(jobs).scalar()
-
-    joined = (
-        totals.join(medians, "skill", "left")
-        .join(taxonomy.attributes(spark), "skill", "left")
-        .join(skill_evidence(spark, taxonomy), "skill", "left")
+
+def skill_gap_summary(jobs: DataFrame, courses: DataFrame, taxonomy: Taxonomy | None = None) -> DataFrame:
+    """Demand, supply, scores and evidence of every skill in the jobs or courses, best first."""
+    known = skill_attributes(jobs.sparkSession, taxonomy or builtin())
+    joined = skill_totals(jobs, courses).join(known, "skill", "left")
+    texts = (
+        "onet_workplace_examples", "onet_soc_codes", "onet_occupations", "onet_growth_outlook", "bls_projection_period",
+        "onet_reference_url",
     )
     scored = joined.withColumns(
         {
             "category": F.coalesce("category", F.lit(DEFAULT_CATEGORY)),
             "gap_score": F.col("job_demand") - F.col("course_supply"),
             "demand_supply_ratio": scoring.demand_supply_ratio(F.col("job_demand"), F.col("course_supply")),
-            "demand_score": scoring.normalize_count(F.col("job_demand"), most_demand),
-            "course_supply_score": scoring.normalize_count(F.col("course_supply"), most_supply),
-            "growth_score": F.coalesce(
-                F.col("growth_evidence").cast("int"), "growth_signal", F.lit(DEFAULT_SIGNAL[0])
-            ),
-            "salary_premium_score": F.coalesce(
-                "salary_evidence",
-                scoring.premium_score(F.col("median_salary"), baseline).cast("int"),
-                "salary_signal",
-                F.lit(DEFAULT_SIGNAL[1]),
-            ),
+            "demand_score": scoring.normalize_count(F.col("job_demand"), F.col("most_demand")),
+            "course_supply_score": scoring.normalize_count(F.col("course_supply"), F.col("most_supply")),
+            "growth_score": F.coalesce("growth_evidence", "growth_signal", F.lit(DEFAULT_SIGNAL[0])),
+            "salary_premium_score": _premium(),
             "saturation_score": F.coalesce("saturation_score", F.lit(DEFAULT_SIGNAL[2])),
             "market_direction": F.coalesce("market_direction", F.lit(DEFAULT_SIGNAL[3])),
             "target_job_roles": F.coalesce("target_job_roles", F.lit(DEFAULT_ROLE)),
             "role_families": F.coalesce("role_families", F.lit(DEFAULT_FAMILY)),
             "taxonomy_source": F.coalesce("taxonomy_source", F.lit(occupations.FALLBACK_SOURCE)),
             "onet_evidence_status": F.coalesce("onet_evidence_status", F.lit("project_fallback")),
-            **{
-                c: F.coalesce(c, F.lit(""))
-                for c in (
-                    "onet_workplace_examples", "onet_soc_codes", "onet_occupations", "onet_growth_outlook",
-                    "bls_projection_period", "onet_reference_url",
-                )
-            },
+            **{c: F.coalesce(c, F.lit("")) for c in texts},
         }
     )
-    ranked = scored.withColumn(
+    indexed = scored.withColumn(
         "opportunity_index",
         scoring.opportunity_index(
-            F.col("demand_score"), F.col("growth_score"), F.col("salary_premium_score"),
-            F.col("course_supply_score"), F.col("saturation_score"),
+            F.col("demand_score"), F.col("growth_score"), F.col("salary_premium_score"), F.col("course_supply_score"),
+            F.col("saturation_score"),
         ).cast("int"),
-    ).withColumns(
-        {
-            "opportunity_label": scoring.opportunity_label(F.col("opportunity_index")),
-            "status": scoring.gap_status(F.col("gap_score")),
-        }
     )
-    return rank_gaps(ranked.select(*GAP_COLUMNS))
+    index, gap = F.col("opportunity_index"), F.col("gap_score")
+    labels = {"opportunity_label": scoring.opportunity_label(index), "status": scoring.gap_status(gap)}
+    return rank_gaps(indexed.withColumns(labels).select(*GAP_COLUMNS))
 
 
 def rank_gaps(gaps: DataFrame) -> DataFrame:

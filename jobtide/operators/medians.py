@@ -14,43 +14,44 @@ _BANDS_PER_E = 2048
 _OFFSET = 2_000_000
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows per key and value; combined on the map side, so repeated values shuffle once per task."""
-    return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-
-
 def _band(value: Column) -> Column:
     """Number of the band a value falls in; never decreases as the value grows."""
     size = F.floor(F.ln(F.abs(value)) * _BANDS_PER_E) + _OFFSET
     return F.when(value == 0, F.lit(0).cast("long")).otherwise(F.signum(value).cast("long") * size)
 
 
-def band_counts(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows per key and band; rows without a value fall in a null band."""
-    return counts.withColumn("band", _band(F.col(value))).groupBy(*keys, "band").agg(F.sum("n").alias("n"))
-
+def exact_median(
+    df: DataFrame, keys: Sequence[str], value: str, out: str = "median", totals: Sequence[str] = ()
+) -> DataFrame:
+    """Exact median of ``value`` per key, with the sums of the ``totals`` columns.
 
-def exact_median(counts: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
-    """Exact median per key of pre-counted values; keys without any value are left out.
+    ``df`` is a table of occurrences: a row counts once where its value is known.  A key without any
+    known value has a null median.
 
-    A key that holds a third of all rows must not end up sorted by one task.  The ranks of the two
-    middle values are first located among the bands of the key, which are few, and only the values
-    of those one or two bands are then put in order.
+    A key that holds a third of all rows must not end up sorted by one task.  Equal values are
+    counted on the map side first.  The ranks of the two middle values are then located among the
+    bands of the key, which are few, and only the values of those one or two bands are put in order.
+    The counted table is used twice; Spark shuffles it once and reuses the exchange.
     """
-    keys = list(keys)
-    known = counts.where(F.col(value).isNotNull())
-    per_band = band_counts(known, keys, value)
-    ordered = W.partitionBy(*keys).orderBy("band")
-    ranked = per_band.withColumn("upto", F.sum("n").over(ordered)).withColumn(
-        "total", F.sum("n").over(W.partitionBy(*keys))
-    )
-    low, high = F.expr("(total + 1) div 2"), F.expr("total div 2 + 1")
-    middle = ranked.where((F.col("upto") - F.col("n") < high) & (F.col("upto") >= low)).select(
-        *keys, "band", (F.col("upto") - F.col("n")).alias("before"), low.alias("low"), high.alias("high")
-    )
-    within = known.withColumn("band", _band(F.col(value))).join(middle, [*keys, "band"])
-    upto = F.col("before") + F.sum("n").over(W.partitionBy(*keys, "band").orderBy(value))
-    chosen = within.withColumn("upto", upto).where(
-        (F.col("upto") - F.col("n") < F.col("high")) & (F.col("upto") >= F.col("low"))
+    keys, totals = list(keys), list(totals)
+    counts = df.groupBy(*keys, value).agg(F.count(value).alias("_n"), *[F.sum(t).alias(t) for t in totals])
+    counts = counts.withColumn("_band", _band(F.col(value)))
+    per_band = counts.groupBy(*keys, "_band").agg(F.sum("_n").alias("_n"), *[F.sum(t).alias(t) for t in totals])
+
+    whole = W.partitionBy(*keys)
+    upto = F.sum("_n").over(whole.orderBy("_band"))
+    ranked = per_band.select(
+        *keys, "_band", (upto - F.col("_n")).alias("_before"), upto.alias("_upto"), F.sum("_n").over(whole).alias("_all"),
+        *[F.sum(t).over(whole).alias(t) for t in totals],
+        F.row_number().over(whole.orderBy("_band")).alias("_first"),
     )
-    return chosen.groupBy(*keys).agg(F.avg(value).alias(out))
+    low, high = F.expr("(_all + 1) div 2"), F.expr("_all div 2 + 1")
+    # a key without known values keeps one row, so that its totals are not lost
+    kept = F.when(F.col("_all") == 0, F.col("_first") == 1).otherwise((F.col("_before") < high) & (F.col("_upto") >= low))
+    middle = ranked.where(kept).select(*keys, "_band", "_before", low.alias("_low"), high.alias("_high"), *totals)
+
+    inside = middle.join(counts.select(*keys, "_band", value, "_n").where(F.col("_n") > 0), [*keys, "_band"], "left")
+    reached = F.col("_before") + F.sum("_n").over(W.partitionBy(*keys, "_band").orderBy(value))
+    chosen = (reached - F.col("_n") < F.col("_high")) & (reached >= F.col("_low"))
+    marked = inside.withColumn("_value", F.when(chosen, F.col(value)))
+    return marked.groupBy(*keys).agg(F.avg("_value").alias(out), *[F.max(t).alias(t) for t in totals])

@@ -5,14 +5,14 @@ Facts are summed per dimension key before they meet a dimension, so the joins se
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.operators.trends import rising_skills
 
-Star = dict[str, DataFrame]
+Star = Mapping[str, DataFrame]
 
 # dimension -> (its key, the columns a report can group by)
 DIMENSIONS = {

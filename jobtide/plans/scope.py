@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from jobtide.operators.certifications import certification_recommendations
 from jobtide.operators.filters import filter_courses, filter_jobs, filter_skill_trends, filter_sources
-from jobtide.operators.gaps import skill_gap_summary
+from jobtide.operators.gaps import explode_skills, skill_gap_summary
 from jobtide.taxonomy import Taxonomy
 from jobtide.values.sources import SOURCE_VIEWS
 
@@ -39,6 +39,7 @@ def scope(
     out["skill_gaps"] = skill_gap_summary(out["jobs"], out["courses"], taxonomy)
     if catalog is not None:
         scored = certification_recommendations(catalog, out["skill_gaps"], taxonomy, ordinal="ordinal")
-        # no gaps at all leave no certifications either
-        out["certifications"] = scored.where(out["skill_gaps"].select("skill").limit(1).exists())
+        # no skills at all leave no certifications either
+        skills = explode_skills(out["jobs"]).unionByName(explode_skills(out["courses"]))
+        out["certifications"] = scored.where(skills.limit(1).exists())
     return out

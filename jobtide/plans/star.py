@@ -6,6 +6,8 @@ gives the run-independent keys of the file export.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -236,29 +238,54 @@ def on_calendar(fact: DataFrame, column: str, days: DataFrame) -> DataFrame:
     return fact.withColumn("date", F.to_date(parse_time(F.col(column)))).join(days, "date", "left")
 
 
-def build(outputs: dict[str, DataFrame], run_id: str, keys: str = "warehouse") -> dict[str, DataFrame]:
+class Tables(Mapping):
+    """Named tables, each planned when first asked for and then kept."""
+
+    def __init__(self, makers: dict[str, Callable[["Tables"], DataFrame]]):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name](self)
+        return self._made[name]
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
+def build(outputs: Mapping[str, DataFrame], run_id: str, keys: str = "warehouse") -> Mapping[str, DataFrame]:
     """The fifteen tables.  ``outputs`` holds jobs, courses, skill_gaps, trend_history, certifications, quality."""
-    jobs = stg_jobs(with_run_id(outputs["jobs"], run_id), keys)
-    courses = stg_courses(with_run_id(outputs["courses"], run_id), keys)
-    gaps, trends = with_run_id(outputs["skill_gaps"], run_id), outputs["trend_history"]
-    trend_fact = fact_skill_trend_history(trends, keys)
-    coverage = fact_course_skill_coverage(courses)
-    demand = mart_role_skill_demand(trend_fact)
     export = keys == "export"
-    return {
-        "fact_job_skill_mentions": fact_job_skill_mentions(jobs),
-        "fact_course_skill_coverage": coverage,
-        "fact_skill_trend_history": trend_fact,
-        "dim_skill": dim_skill_export(gaps, jobs, courses, trends) if export else dim_skill(gaps),
-        "dim_role": dim_role_export(jobs, trends) if export else dim_role(jobs, trends),
-        "dim_location": dim_location(jobs, trends),
-        "dim_source": dim_source(jobs, courses, trends),
-        "dim_time": dim_time(trends, run_id),
-        "mart_skill_opportunity": gaps.withColumn("skill_key", F.md5("skill")) if export else mart_skill_opportunity(gaps),
-        "mart_role_skill_demand": demand,
-        "mart_role_readiness_inputs": mart_role_readiness(demand, coverage),
-        "fact_jobs": fact_records(outputs["jobs"], run_id, "job_key", keys),
-        "fact_courses": fact_records(outputs["courses"], run_id, "course_key", keys),
-        "fact_certification_recommendations": with_run_id(outputs["certifications"], run_id),
-        "fact_quality_checks": with_run_id(outputs["quality"], run_id),
-    }
+
+    def jobs() -> DataFrame:
+        return stg_jobs(with_run_id(outputs["jobs"], run_id), keys)
+
+    def courses() -> DataFrame:
+        return stg_courses(with_run_id(outputs["courses"], run_id), keys)
+
+    def gaps() -> DataFrame:
+        return with_run_id(outputs["skill_gaps"], run_id)
+
+    def trends() -> DataFrame:
+        return outputs["trend_history"]
+
+    return Tables({
+        "fact_job_skill_mentions": lambda t: fact_job_skill_mentions(jobs()),
+        "fact_course_skill_coverage": lambda t: fact_course_skill_coverage(courses()),
+        "fact_skill_trend_history": lambda t: fact_skill_trend_history(trends(), keys),
+        "dim_skill": lambda t: dim_skill_export(gaps(), jobs(), courses(), trends()) if export else dim_skill(gaps()),
+        "dim_role": lambda t: dim_role_export(jobs(), trends()) if export else dim_role(jobs(), trends()),
+        "dim_location": lambda t: dim_location(jobs(), trends()),
+        "dim_source": lambda t: dim_source(jobs(), courses(), trends()),
+        "dim_time": lambda t: dim_time(trends(), run_id),
+        "mart_skill_opportunity": lambda t: gaps().withColumn("skill_key", F.md5("skill")) if export else mart_skill_opportunity(gaps()),
+        "mart_role_skill_demand": lambda t: mart_role_skill_demand(t["fact_skill_trend_history"]),
+        "mart_role_readiness_inputs": lambda t: mart_role_readiness(t["mart_role_skill_demand"], t["fact_course_skill_coverage"]),
+        "fact_jobs": lambda t: fact_records(outputs["jobs"], run_id, "job_key", keys),
+        "fact_courses": lambda t: fact_records(outputs["courses"], run_id, "course_key", keys),
+        "fact_certification_recommendations": lambda t: with_run_id(outputs["certifications"], run_id),
+        "fact_quality_checks": lambda t: with_run_id(outputs["quality"], run_id),
+    })

@@ -6,6 +6,8 @@ for the checks.  All of them cover the whole tables.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,26 @@ from jobtide.taxonomy import Occupation, Skill, Taxonomy, lookup
 COLLECTED = "2026-07-01 00:00:00"
 
 
+# declared, so that no read opens files to infer a schema
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+                "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf}/{name}.parquet")
 
 
 # --- taxonomies ---------------------------------------------------------------------------------
@@ -44,6 +64,7 @@ TEXT_FAMILIES = {
 TEXT_SOURCES = {f"src{n}": label for n, label in enumerate(["live_verified", "live_broad", "curated_demo", "fallback_learning"] * 4)}
 
 
+@cache
 def text_taxonomy() -> Taxonomy:
     skills = tuple(
         Skill(name, category, patterns, (), (), 40 + 5 * n, 45 + 3 * n, 70 - 4 * n, "Growing" if n % 2 else "Stable")
@@ -63,6 +84,7 @@ EXAMPLES = {"Brand#1": ("Lathe", "Vise"), "PROMO": ("Banner",)}
 PART_TYPES = ("ECONOMY", "PROMO", "MEDIUM", "LARGE", "STANDARD", "SMALL")
 
 
+@cache
 def part_taxonomy() -> Taxonomy:
     brands = [
         Skill(f"Brand#{n}", "Brand", (), ("Data & Analytics", "Database") if n % 3 == 0 else (), ("Maker",) if n % 4 == 0 else (),

@@ -266,11 +266,8 @@ def export_typed(spark, sf):
 
 # --- streams ------------------------------------------------------------------------------------
 
-EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
-
-
 def _events(spark, sf):
-    return spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return spark.readStream.schema(b.TABLES["events"]).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _finished(stream):

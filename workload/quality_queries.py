@@ -23,16 +23,16 @@ def checks(spark, sf):
 
 CHECKS_SQL = f"""{b.TEXT_JOBS_SQL}, {b.TEXT_COURSES_SQL},
 cl AS (SELECT external_id, count(DISTINCT skill) AS n FROM course_match GROUP BY 1),
-j AS (SELECT s.*, coalesce(l.skill_count, 0) AS n, regexp_replace(lower(regexp_extract(url, '//([^/?#]*)', 1)), '^www\\.', '') AS host, CAST(posted_at AS TIMESTAMP) AS at
+j AS (SELECT s.*, coalesce(l.skill_count, 0) AS n, regexp_replace(lower(regexp_extract(url, '//([^/?#]*)', 1)), '^www\\.', '') AS host, CAST(posted_at AS TIMESTAMP) AS seen
   FROM job_src s LEFT JOIN job_lists l USING (external_id)),
-c AS (SELECT s.*, coalesce(cl.n, 0) AS n, lower(rtrim(trim(url), '/')) AS u, CAST(last_modified AS TIMESTAMP) AS at FROM course_src s LEFT JOIN cl USING (external_id)),
+c AS (SELECT s.*, coalesce(cl.n, 0) AS n, lower(rtrim(trim(url), '/')) AS u, CAST(last_modified AS TIMESTAMP) AS seen FROM course_src s LEFT JOIN cl USING (external_id)),
 nj AS (SELECT count(*) AS r, count(*) FILTER (WHERE n = 0) AS none, count(*) - count(DISTINCT (source_name, external_id)) AS dup,
   count(*) FILTER (WHERE salary_min < 20000 OR salary_max > 500000 OR salary_min > salary_max) AS bad,
   count(*) FILTER (WHERE NOT regexp_matches(host, '(^|\\.)(src1\\.example\\.com|src2\\.example\\.com|example\\.net)$')) AS unt,
   array_to_string(list_sort(list_distinct(list(host) FILTER (WHERE NOT regexp_matches(host, '(^|\\.)(src1\\.example\\.com|src2\\.example\\.com|example\\.net)$')))), ', ') AS hosts,
-  count(*) FILTER (WHERE date_diff('day', at, TIMESTAMP '{AS_OF}') > 365) AS stale, count(*) FILTER (WHERE at > TIMESTAMP '{AS_OF}') AS fut FROM j),
+  count(*) FILTER (WHERE date_diff('day', seen, TIMESTAMP '{AS_OF}') > 365) AS stale, count(*) FILTER (WHERE seen > TIMESTAMP '{AS_OF}') AS fut FROM j),
 nc AS (SELECT count(*) AS r, count(*) FILTER (WHERE n = 0) AS none, count(*) - count(DISTINCT (source_name, external_id)) AS dup, count(*) - count(DISTINCT u) AS udup,
-  count(*) FILTER (WHERE date_diff('day', at, TIMESTAMP '{AS_OF}') > 730) AS stale FROM c),
+  count(*) FILTER (WHERE date_diff('day', seen, TIMESTAMP '{AS_OF}') > 730) AS stale FROM c),
 g AS (SELECT skill, sum(n) AS n FROM (SELECT skill, count(*) AS n FROM job_match GROUP BY 1 UNION ALL SELECT skill, count(*) FROM course_match GROUP BY 1) GROUP BY 1),
 ng AS (SELECT count(*) AS r, count(*) FILTER (WHERE n >= 3) AS ok FROM g),
 checks AS (

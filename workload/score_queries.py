@@ -142,12 +142,12 @@ def filter_sources(spark, sf):
 
 
 @query("filter_gap_ui", f"""
-WITH {b.PART_GAPS_SQL}, kept AS (SELECT skill FROM gaps WHERE category = 'Type' AND opportunity_label IN ('Balanced', 'Good bet') AND opportunity_index >= 40),
+WITH {b.PART_GAPS_SQL}, kept AS (SELECT skill FROM gaps WHERE category = 'Type' AND opportunity_label IN ('High-value', 'Good bet') AND opportunity_index >= 61),
 m AS (SELECT run_id, unnest(skills) AS skill FROM pjobs)
 SELECT run_id, skill, count(*) AS jobs FROM m WHERE skill IN (SELECT skill FROM kept) GROUP BY 1, 2""")
 def filter_gap_ui(spark, sf):
     mentions = gaps.explode_skills(b.part_jobs(spark, sf), "run_id").groupBy("run_id", "skill").agg(F.count(F.lit(1)).alias("jobs"))
-    _, kept = filters.filter_gap_ui(part_gaps(spark, sf), mentions, ["Type"], ["Balanced", "Good bet"], 40)
+    _, kept = filters.filter_gap_ui(part_gaps(spark, sf), mentions, ["Type"], ["High-value", "Good bet"], 61)
     return kept.select("run_id", "skill", "jobs")
 
 

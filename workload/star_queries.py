@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from jobtide import storage
+from jobtide.operators.trends import skill_trend_history
 from jobtide.plans import measures, star
 from workload import bindings as b
 from workload.registry import query
@@ -14,8 +16,6 @@ RUN = "20010801_000000"
 
 def trends(spark, sf):
     """Trend history of the line items, already grouped by run."""
-    from jobtide.operators.trends import skill_trend_history
-
     return skill_trend_history(b.part_jobs(spark, sf), b.part_courses(spark, sf), F.col("run_id"))
 
 
@@ -146,9 +146,11 @@ def mart_skill_opportunity(spark, sf):
 
 
 @query("mart_role_skill_demand", f"""
-WITH {STAR_SQL} SELECT md5(role_category) AS role_key, md5(skill) AS skill_key, md5(run_id) AS time_key, CAST(job_demand AS BIGINT) AS job_demand, round(salary_min_avg, 0) AS salary_min_avg, round(salary_max_avg, 0) AS salary_max_avg FROM demand""")
+WITH {STAR_SQL} SELECT md5(role_category) AS role_key, md5(skill) AS skill_key, md5(run_id) AS time_key, CAST(job_demand AS BIGINT) AS job_demand, floor(salary_min_avg / 5) AS salary_min_fives, floor(salary_max_avg / 5) AS salary_max_fives FROM demand""")
 def mart_role_skill_demand(spark, sf):
-    return star.mart_role_skill_demand(star.fact_skill_trend_history(trends(spark, sf))).withColumns({c: F.round(c, 0) for c in ("salary_min_avg", "salary_max_avg")})
+    out = star.mart_role_skill_demand(star.fact_skill_trend_history(trends(spark, sf)))
+    fives = [F.floor(F.col(f"salary_{side}_avg") / 5).cast("double").alias(f"salary_{side}_fives") for side in ("min", "max")]
+    return out.select("role_key", "skill_key", "time_key", "job_demand", *fives)
 
 
 @query("mart_role_readiness", f"WITH {STAR_SQL} SELECT md5(role_category) AS role_key, md5(skill) AS skill_key, job_demand, course_supply, readiness_gap FROM ready")
@@ -184,12 +186,33 @@ def calendar_join(spark, sf):
 
 # --- measures -----------------------------------------------------------------------------------
 
+_models: dict[tuple[str, str], star.Tables] = {}
+
+
 def model(spark, sf):
-    outputs = {
-        "jobs": b.part_jobs(spark, sf), "courses": b.part_courses(spark, sf), "skill_gaps": part_gaps(spark, sf), "trend_history": trends(spark, sf),
-        "certifications": recommendations(spark, sf), "quality": quality(spark, sf),
-    }
-    return star.build(outputs, RUN)
+    """The star schema as the reports find it: tables written once and read back.
+
+    A table is built from the generated tables when a measure first asks for it.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _models:
+        outputs = star.Tables({
+            "jobs": lambda t: b.part_jobs(spark, sf),
+            "courses": lambda t: b.part_courses(spark, sf),
+            "skill_gaps": lambda t: part_gaps(spark, sf),
+            "trend_history": lambda t: trends(spark, sf),
+            "certifications": lambda t: recommendations(spark, sf),
+            "quality": lambda t: quality(spark, sf),
+        })
+        built, root = star.build(outputs, RUN), storage.scratch(spark, "star")
+
+        def stored(name):
+            df = built[name]
+            df.write.mode("overwrite").parquet(f"{root}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+        _models[key] = star.Tables({name: lambda t, n=name: stored(n) for name in built})
+    return _models[key]
 
 
 _DEMAND_SCORE = "CAST(floor(count(*) * 100.0::DOUBLE / (SELECT max(n) FROM (SELECT count(*) AS n FROM {t} GROUP BY skill)) + 0.5) AS BIGINT)"
@@ -197,10 +220,10 @@ MEASURES = {
     "skill_demand_score": (measures.skill_demand_score, f"SELECT skill, {_DEMAND_SCORE.format(t='jmx')} AS skill_demand_score FROM jmx GROUP BY skill"),
     "skill_supply_score": (measures.skill_supply_score, f"SELECT skill, {_DEMAND_SCORE.format(t='cmx')} AS skill_supply_score FROM cmx GROUP BY skill"),
     "high_confidence_demand": (lambda m: measures.high_confidence_demand_only(m, ["source_name"]),
-                               "SELECT source_name, count(*) FILTER (WHERE source_confidence = 'live_verified') AS high_confidence_demand_only FROM jmx GROUP BY 1"),
+                               "SELECT source_name, CAST(nullif(count(*) FILTER (WHERE source_confidence = 'live_verified'), 0) AS DOUBLE) AS high_confidence_demand_only FROM jmx GROUP BY 1"),
     "total_jobs": (measures.total_jobs, "SELECT count(DISTINCT job_key) AS total_jobs FROM sj"),
     "total_courses": (measures.total_courses, "SELECT count(DISTINCT course_key) AS total_courses FROM sc"),
-    "job_mentions": (lambda m: measures.job_mentions(m, ["role_name", "location"]), "SELECT role_category AS role_name, location, count(*) AS job_mentions FROM jmx GROUP BY 1, 2"),
+    "job_mentions": (lambda m: measures.job_mentions(m, ["location", "skill"]), "SELECT location, skill, count(*) AS job_mentions FROM jmx GROUP BY 1, 2"),
     "course_coverage": (lambda m: measures.course_coverage(m, ["source_name"]), "SELECT source_name, count(*) AS course_coverage FROM cmx GROUP BY 1"),
     "role_demand": (lambda m: measures.role_demand(m, ["skill"]), "SELECT skill, CAST(sum(job_demand) AS BIGINT) AS role_demand FROM demand GROUP BY 1"),
     "average_readiness_gap": (lambda m: measures.average_readiness_gap(m, ["skill"]).withColumn("average_readiness_gap", F.round("average_readiness_gap", 6)),
