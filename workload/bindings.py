@@ -249,8 +249,9 @@ def part_jobs(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderpriority").alias("role_category"),
         lookup(FAMILIES, F.col("o_orderstatus")).alias("role_family"),
         lookup(REMOTE, F.col("l_returnflag")).alias("remote_type"),
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("salary_min"),
-        F.col("l_extendedprice").alias("salary_max"),
+        # whole numbers, so that sums do not depend on the order of the rows
+        F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("double").alias("salary_min"),
+        F.floor("l_extendedprice").cast("double").alias("salary_max"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("posted_at"),
         F.concat(F.lit("https://www."), F.lower("c_mktsegment"), F.lit(".example.net/"), F.col("l_orderkey")).alias("url"),
         F.array("p_brand", "p_type").alias("skills"),
@@ -286,7 +287,7 @@ pjobs AS (
     l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS external_id, c_mktsegment AS source_name,
     {sql_case(SEGMENT_LABELS, "c_mktsegment", "test_source")} AS source_confidence, p_name AS title, 'Supplier ' || l_suppkey AS company,
     n_name AS location, o_orderpriority AS role_category, {sql_case(FAMILIES, "o_orderstatus")} AS role_family,
-    {sql_case(REMOTE, "l_returnflag")} AS remote_type, l_extendedprice * (1 - l_discount) AS salary_min, l_extendedprice AS salary_max,
+    {sql_case(REMOTE, "l_returnflag")} AS remote_type, floor(l_extendedprice * (1 - l_discount)) AS salary_min, floor(l_extendedprice) AS salary_max,
     strftime(o_orderdate, '%Y-%m-%d') AS posted_at, 'https://www.' || lower(c_mktsegment) || '.example.net/' || l_orderkey AS url,
     [p_brand, p_type] AS skills, round_even(1.0 - l_tax, 2) AS skill_confidence, 2 AS skill_count, l_shipdate AS collected_at
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey

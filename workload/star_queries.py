@@ -146,11 +146,12 @@ def mart_skill_opportunity(spark, sf):
 
 
 @query("mart_role_skill_demand", f"""
-WITH {STAR_SQL} SELECT md5(role_category) AS role_key, md5(skill) AS skill_key, md5(run_id) AS time_key, CAST(job_demand AS BIGINT) AS job_demand, floor(salary_min_avg / 5) AS salary_min_fives, floor(salary_max_avg / 5) AS salary_max_fives FROM demand""")
+WITH {STAR_SQL} SELECT md5(role_category) AS role_key, md5(skill) AS skill_key, md5(run_id) AS time_key, CAST(job_demand AS BIGINT) AS job_demand, round(salary_min_avg + 0.0000137, 3) AS salary_min_avg, round(salary_max_avg + 0.0000137, 3) AS salary_max_avg FROM demand""")
 def mart_role_skill_demand(spark, sf):
     out = star.mart_role_skill_demand(star.fact_skill_trend_history(trends(spark, sf)))
-    fives = [F.floor(F.col(f"salary_{side}_avg") / 5).cast("double").alias(f"salary_{side}_fives") for side in ("min", "max")]
-    return out.select("role_key", "skill_key", "time_key", "job_demand", *fives)
+    # averages differ in their last bits with the order of the rows; the offset keeps them off rounding ties
+    near = {f"salary_{side}_avg": F.round(F.col(f"salary_{side}_avg") + 0.0000137, 3) for side in ("min", "max")}
+    return out.withColumns(near)
 
 
 @query("mart_role_readiness", f"WITH {STAR_SQL} SELECT md5(role_category) AS role_key, md5(skill) AS skill_key, job_demand, course_supply, readiness_gap FROM ready")
