@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,16 +14,17 @@ SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may do without the setting; it gets a temporary folder of its own.
+    Only a session without executors of their own may do without the setting; it gets a temporary folder,
+    which it then keeps as its checkpoint folder.
     """
-    named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {SETTING} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="jobtide-")
-    spark.conf.set(SETTING, folder)
-    return folder
+    context = spark.sparkContext
+    named = spark.conf.get(SETTING, None) or context.getConf().get(SETTING) or context.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError(f"set {SETTING} to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="jobtide-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
