@@ -243,7 +243,7 @@ def render(page: str | None) -> str:
         node, parent, leave = walk.pop()
         sheet = sheets[-1]
         if isinstance(node, str):
-            if parent.tag in ("table", "tbody", "thead", "tfoot", "tr") and not node.strip():
+            if parent.tag in ("table", "tbody", "thead", "tfoot", "tr") and not node.strip() or parent.tag == "details" and "open" not in parent.attrs:
                 continue
             if pre:
                 # the line break behind the start tag is no text

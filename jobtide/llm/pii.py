@@ -10,7 +10,7 @@ gender and script, family names by names of the same script; a family name alone
 
 Draws are checked: a surrogate that is drawn for two entities, or that is itself an entity of the corpus, is
 kept by the first at most and drawn again for the others, until all differ. Names of several parts come in
-when single names run out; a form that has no room for another draw, such as a password of marks only, grows.
+when single names run out; a form that has no room for another draw grows.
 
 Nulls and texts without a find stay as they are. Rows that repeat both doc_id and text are handled alike.
 """
@@ -47,7 +47,7 @@ _LABEL = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{
 KINDS = {
     "email": r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
     "key": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,}+",
-    "secret": rf"{_LABEL}[^\s\"'=:,;]{{6,}}+",
+    "secret": rf"{_LABEL}(?=[^\s\"'=:,;]*[\p{{L}}\p{{N}}])[^\s\"'=:,;]{{6,}}+",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
     "ssn": r"(?<!\d-)\d{3}-\d{2}-\d{4}(?![\d-])",
