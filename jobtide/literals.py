@@ -7,16 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-MAX_LITERAL_ROWS = 10_000
+BROADCAST_ROWS = 10_000
 
 
 def literal_frame(spark: SparkSession, data: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
-    """A one-partition DataFrame of program literals with a broadcast hint.
+    """A one-partition DataFrame of rows given by the caller.
 
-    The hint is safe because the row count is known here and checked; anything larger is refused
-    rather than broadcast.
+    Up to ``BROADCAST_ROWS`` rows carry a broadcast hint; beyond that the optimizer chooses the join.
     """
-    if len(data) > MAX_LITERAL_ROWS:
-        raise ValueError(f"{len(data)} literal rows; write tables of this size to storage instead")
-    frame = spark.createDataFrame(list(data), schema)
-    return frame.coalesce(1).hint("broadcast")
+    frame = spark.createDataFrame(list(data), schema).coalesce(1)
+    return frame.hint("broadcast") if len(data) <= BROADCAST_ROWS else frame

@@ -148,11 +148,11 @@ def scheduler_view(runs: DataFrame, interval_minutes: int = 1440) -> DataFrame:
     )
 
 
-def skill_profile(skill: str, jobs: DataFrame, courses: DataFrame, gaps: DataFrame) -> dict[str, DataFrame]:
+def skill_profile(skill: str, jobs: DataFrame, courses: DataFrame, gaps: DataFrame, samples: int = 10) -> dict[str, DataFrame]:
     """Gap row, counts and samples of one skill.
 
     The gap row is the exact skill where there is one, else the first that contains the text.
-    Counts stop at 500 and samples at 10, as in the profile page they serve.
+    Counts cover all rows; the samples are the first `samples` rows.
     """
     exact = F.lower("skill") == skill.lower()
     gap = contains_text(gaps, "skill", skill).orderBy(
@@ -160,15 +160,15 @@ def skill_profile(skill: str, jobs: DataFrame, courses: DataFrame, gaps: DataFra
     ).limit(1)
     found_jobs, found_courses = filter_jobs(jobs, skill=skill, limit=None), filter_courses(courses, skill=skill, limit=None)
     counts = one_row(
-        found_jobs.limit(500).agg(F.count(F.lit(1)).alias("job_count")),
-        found_courses.limit(500).agg(F.count(F.lit(1)).alias("course_count")),
+        found_jobs.agg(F.count(F.lit(1)).alias("job_count")),
+        found_courses.agg(F.count(F.lit(1)).alias("course_count")),
     )
     order = ("source_name", "external_id")
     return {
         "gap": gap,
         "counts": counts,
-        "sample_jobs": head(found_jobs, 10, *order),
-        "sample_courses": head(found_courses, 10, *order),
+        "sample_jobs": head(found_jobs, samples, *order),
+        "sample_courses": head(found_courses, samples, *order),
     }
 
 

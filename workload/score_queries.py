@@ -284,8 +284,8 @@ def run_log(spark, sf):
 @query("skill_profile", f"""
 WITH {b.PART_GAPS_SQL}
 SELECT 'gap' AS part, skill AS key, opportunity_index::BIGINT AS n FROM gaps WHERE skill = 'PROMO'
-UNION ALL SELECT 'jobs', 'count', least(500, (SELECT count(*) FROM pjobs WHERE list_contains(skills, 'PROMO')))
-UNION ALL SELECT 'courses', 'count', least(500, (SELECT count(*) FROM pcourses WHERE list_contains(skills, 'PROMO')))
+UNION ALL SELECT 'jobs', 'count', (SELECT count(*) FROM pjobs WHERE list_contains(skills, 'PROMO'))
+UNION ALL SELECT 'courses', 'count', (SELECT count(*) FROM pcourses WHERE list_contains(skills, 'PROMO'))
 UNION ALL SELECT 'sample_jobs', external_id, 0 FROM (SELECT * FROM pjobs WHERE list_contains(skills, 'PROMO') ORDER BY source_name, external_id LIMIT 10)
 UNION ALL SELECT 'sample_courses', external_id, 0 FROM (SELECT * FROM pcourses WHERE list_contains(skills, 'PROMO') ORDER BY source_name, external_id LIMIT 10)""")
 def skill_profile(spark, sf):
