@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from jobtide import schemas, storage
 from jobtide.literals import literal_frame
 from jobtide.operators.kpis import run_summary
+from jobtide.operators.trends import latest_per_group
 from jobtide.values import catalogs, sources
 
 
@@ -243,18 +244,20 @@ def split_rejects(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFr
 
 
 def new_rows(df: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key is not stored yet, one per key, NaN stored as null."""
+    """Rows whose key is complete and not stored yet, the first of each key in input order, NaN stored as null."""
     cleaned = df.select(*[
         F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes
     ])
     complete, _ = split_rejects(cleaned, keys)
-    return complete.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
+    numbered = complete.withColumn("_ordinal", F.monotonically_increasing_id())
+    return latest_per_group(numbered, list(keys), F.asc("_ordinal")).drop("_ordinal").join(existing.select(*keys), list(keys), "left_anti")
 
 
 def append_idempotent(spark: SparkSession, df: DataFrame, path: str, keys: Sequence[str], run_id: str | None = None) -> None:
     """Append the rows whose key is not stored yet to a table partitioned by run.
 
-    Rows of one run are compared with that run's partition only.
+    Rows of one run are compared with that run's partition only.  Rows that lack part of the key go
+    to ``<path>_rejects``; those of a run replace what an earlier attempt of it rejected.
     """
     batch = df if run_id is None else df.drop("run_id").withColumn("run_id", F.lit(run_id))
     if storage.exists(spark, path):
@@ -266,6 +269,16 @@ def append_idempotent(spark: SparkSession, df: DataFrame, path: str, keys: Seque
     rows = new_rows(batch, existing, keys)
     writer = rows.write.mode("append")
     (writer.partitionBy("run_id") if "run_id" in rows.columns else writer).parquet(path)
+    _, rejects = split_rejects(batch, keys)
+    if run_id is None:
+        rejects.write.mode("append").parquet(f"{path}_rejects")
+    else:
+        _replace_run(rejects, f"{path}_rejects")
+
+
+def _replace_run(rows: DataFrame, path: str) -> None:
+    """Write rows partitioned by run; a run that is there already is replaced."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def ensure_tables(spark: SparkSession, database: str = "market_intel") -> list[str]:
@@ -308,14 +321,23 @@ def as_text_lists(df: DataFrame) -> DataFrame:
     return df.select(*[F.concat_ws("|", c).alias(c) if t.startswith("array<string") else F.col(c) for c, t in df.dtypes])
 
 
+STAR_TABLES = (
+    "fact_job_skill_mentions", "fact_course_skill_coverage", "fact_skill_trend_history", "dim_skill", "dim_role", "dim_location", "dim_source", "dim_time",
+    "mart_skill_opportunity", "mart_role_skill_demand", "mart_role_readiness_inputs", "fact_jobs", "fact_courses", "fact_certification_recommendations",
+    "fact_quality_checks",
+)
+
+
 def export_star(spark: SparkSession, tables: Mapping[str, DataFrame], out_dir: str, fmt: str = "csv") -> dict[str, str]:
-    """Write every table below ``out_dir`` and remove tables of an earlier export that are gone.
+    """Write every table below ``out_dir`` and remove star tables of an earlier export that are gone.
+
+    Entries that are no table of the star are left alone.
 
     Each table keeps its partitions; large facts become several files instead of passing through
     one task.
     """
     for name in storage.children(spark, out_dir):
-        if name not in tables:
+        if name in STAR_TABLES and name not in tables:
             storage.delete(spark, f"{out_dir}/{name}")
     written = {}
     for name, df in tables.items():
@@ -332,11 +354,11 @@ def export_star(spark: SparkSession, tables: Mapping[str, DataFrame], out_dir: s
 def append_run_log(
     jobs: DataFrame, courses: DataFrame, gaps: DataFrame, trends: DataFrame, path: str, run_id: str, run_timestamp, warehouse: str
 ) -> None:
-    run_summary(jobs, courses, gaps, trends, run_id, run_timestamp, warehouse).write.mode("append").parquet(path)
+    _replace_run(run_summary(jobs, courses, gaps, trends, run_id, run_timestamp, warehouse), path)
 
 
 def append_source_log(status: DataFrame, path: str, run_id: str) -> None:
-    status.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(path)
+    _replace_run(status.withColumn("run_id", F.lit(run_id)), path)
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
