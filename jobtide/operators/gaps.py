@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobtide.functions import scoring
@@ -69,15 +68,14 @@ def skill_totals(jobs: DataFrame, courses: DataFrame | None = None) -> DataFrame
             explode_skills(courses, F.lit(None).cast("double").alias("value"), zero.alias("job_demand"), one.alias("course_supply"))
         )
     per_skill = exact_median(rows, ["skill"], "value", "median_salary", ["job_demand", "course_supply"])
-    # one row per skill is left, so a window over all of them stays small whatever the jobs hold
-    everything = W.partitionBy()
     is_skill = F.col("skill") != _EVERY_JOB
-    return per_skill.select(
-        "*",
-        F.max(F.when(is_skill, F.col("job_demand"))).over(everything).alias("most_demand"),
-        F.max(F.when(is_skill, F.col("course_supply"))).over(everything).alias("most_supply"),
-        F.max(F.when(~is_skill, F.col("median_salary"))).over(everything).alias("baseline"),
-    ).where(is_skill)
+    # one row of maxima, whatever the number of skills
+    most = per_skill.agg(
+        F.max(F.when(is_skill, F.col("job_demand"))).alias("most_demand"),
+        F.max(F.when(is_skill, F.col("course_supply"))).alias("most_supply"),
+        F.max(F.when(~is_skill, F.col("median_salary"))).alias("baseline"),
+    )
+    return per_skill.where(is_skill).withColumns({c: most.select(c).scalar() for c in most.columns})
 
 
 def _premium() -> Column:

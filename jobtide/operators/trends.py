@@ -57,9 +57,6 @@ def skill_trend_history(jobs: DataFrame, courses: DataFrame, run_id: str | Colum
             }
         )
         .select(*TREND_COLUMNS)
-        .orderBy(
-            "run_timestamp", "skill", F.desc("job_count"), "source_name", "location", "role_category", "role_family"
-        )
     )
 
 

@@ -121,14 +121,17 @@ def dim_skill_export(gaps: DataFrame, jobs: DataFrame, courses: DataFrame, trend
 
 
 def dim_role(jobs: DataFrame, trends: DataFrame) -> DataFrame:
-    """Distinct role and family pairs over staged jobs and trends, retired labels replaced."""
+    """One row per role over staged jobs and trends, retired labels replaced.
+
+    A role that occurs with several families has the last of them by name.
+    """
     from_trends = trends.select(
         recode_role(F.col("role_category")).alias("role_name"),
         recode_family(F.col("role_category"), F.col("role_family")).alias("role_family"),
     )
     both = from_trends.unionByName(jobs.select(F.col("role_category").alias("role_name"), "role_family"))
-    pairs = both.where(F.col("role_name").isNotNull() & F.col("role_family").isNotNull()).distinct()
-    return pairs.select(F.md5("role_name").alias("role_key"), "role_name", "role_family")
+    known = both.where(F.col("role_name").isNotNull() & F.col("role_family").isNotNull())
+    return known.groupBy("role_name").agg(F.max("role_family").alias("role_family")).select(F.md5("role_name").alias("role_key"), "role_name", "role_family")
 
 
 def dim_role_export(jobs: DataFrame, trends: DataFrame) -> DataFrame:

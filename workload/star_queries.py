@@ -108,7 +108,7 @@ def dim_skill_export(spark, sf):
 @query("dim_role", f"""
 WITH {STAR_SQL}, {b.TRENDS_SQL}, r AS (SELECT {_ROLE} AS role_name, CASE WHEN nullif(role_family, '') IS NOT NULL THEN role_family WHEN role_category IN ('Data Analytics', 'Data Architecture', 'Data Engineering') THEN 'Data & Analytics'
   WHEN role_category = 'Data Science' THEN 'AI & Machine Learning' ELSE 'Other Technology' END AS role_family FROM trends UNION SELECT role_category, role_family FROM sj)
-SELECT DISTINCT md5(role_name) AS role_key, role_name, role_family FROM r""")
+SELECT md5(role_name) AS role_key, role_name, max(role_family) AS role_family FROM r GROUP BY role_name""")
 def dim_role(spark, sf):
     return star.dim_role(jobs(spark, sf), b.trends(spark, sf))
 
@@ -242,11 +242,10 @@ MEASURES = {
     "report_source_table": (measures.source_table, """SELECT source_name, max(source_confidence) AS source_confidence, sum(j)::BIGINT AS job_mentions, sum(c)::BIGINT AS course_coverage
   FROM (SELECT source_name, source_confidence, 1 AS j, 0 AS c FROM jmx UNION ALL SELECT source_name, source_confidence, 0, 1 FROM cmx) GROUP BY 1"""),
 }
-# dim_role holds one row per role and family, so a role of three families counts once for each
 ROLE_MEASURES = {
-    "report_role_chart": (lambda m: measures.role_chart(m, "Database", 100), """, rf AS (SELECT DISTINCT role_category, role_family FROM sj)
+    "report_role_chart": (lambda m: measures.role_chart(m, "Database", 100), """, rf AS (SELECT role_category, max(role_family) AS role_family FROM sj GROUP BY 1)
   SELECT d.role_category AS role_name, role_family, CAST(sum(job_demand) AS BIGINT) AS role_demand FROM demand d JOIN rf USING (role_category) WHERE role_family = 'Database' GROUP BY 1, 2 HAVING sum(job_demand) > 100"""),
-    "report_role_skill_table": (lambda m: measures.role_skill_table(m, "Database"), """, rf AS (SELECT DISTINCT role_category, role_family FROM sj)
+    "report_role_skill_table": (lambda m: measures.role_skill_table(m, "Database"), """, rf AS (SELECT role_category, max(role_family) AS role_family FROM sj GROUP BY 1)
   SELECT d.role_category AS role_name, skill, CAST(sum(job_demand) AS BIGINT) AS role_demand FROM demand d JOIN rf USING (role_category) WHERE role_family = 'Database' GROUP BY 1, 2"""),
 }
 GAP_MEASURES = {

@@ -154,7 +154,7 @@ def remote_type(spark, sf):
 @query("dedupe_first", """
 SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1""")
 def dedupe_first(spark, sf):
-    return dedupe.dedupe_by_key(b.table(spark, sf, "documents"), F.asc("doc_id"), key=F.col("text")).select("doc_id", "source")
+    return dedupe.dedupe_by_key(b.table(spark, sf, "documents"), F.asc("doc_id"), key=F.sha2("text", 256)).select("doc_id", "source")
 
 
 @query("latest_matching", """
