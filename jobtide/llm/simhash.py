@@ -249,8 +249,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without ``doc_id`` stay. Of rows that repeat a kept id, one stays: the least by all columns.
     """
     kept = near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
+    kept = stored(docs.sparkSession, kept, "kept-documents")
     gone = kept.where("doc_id <> c").select("doc_id")
     twice = kept.where("doc_id = c AND n > 1").select("doc_id")
+    if twice.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     alone = docs.join(gone.union(twice), "doc_id", "left_anti").select(*docs.columns)
     row = free_name(docs, "row")
     least = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias(row))
