@@ -90,7 +90,10 @@ class _Pieces(dict):
         self.letters = str.maketrans(dict(enumerate(bpe.byte_letters())))
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        if piece.isascii() and piece.isprintable():
+            found = self.tokenize(piece.replace(" ", self.letters[32]))  # all others stand for themselves
+        else:
+            found = self.tokenize(piece.encode().decode("latin-1").translate(self.letters))
         self[piece] = ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
         return ids
 
@@ -114,7 +117,7 @@ class Library:
         self.known = _Pieces(self.tokenizer.model)
 
     def encode(self, text: str) -> bytes:
-        if any(a in text for a in self.added) or bpe.UNCERTAIN.search(text):
+        if any(a in text for a in self.added) or not text.isascii() and bpe.UNCERTAIN.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.known) > KEPT_PIECES:
             self.known.clear()
