@@ -238,6 +238,13 @@ def test_one_word_edits_in_a_large_group(spark):
     assert [k for k, v in sorted(out.items()) if v] == [0, 1001]
 
 
+def test_short_lines_repeat(spark):
+    """Lines under five words go where they are equal, and a line of four where it is one of five but for a word."""
+    rows = [(1, "Read more\n\nAll rights reserved.\none two three four"), (2, "Read  more\n\nRead less\nall rights reserved."), (3, "All rights reserved.\none two X three four\none two three five")]
+    out = linededup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), least=linededup.MIN_WORDS)
+    assert {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 2: "\nRead less\nall rights reserved.", 3: "one two three five"}
+
+
 def test_top_k(spark):
     rows = [(k, [random.choice([0.0, 0.5, -0.25, 1.1]) for _ in range(6)]) for k in range(300)]
     rows += [(400, None), (450, []), (500, [1.0, None]), (550, [float("nan"), 1.0]), (600, [2.0]), (None, [1.0]), (50, [9.0] * 6)]
