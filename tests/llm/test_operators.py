@@ -245,6 +245,37 @@ def test_short_lines_repeat(spark):
     assert {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 2: "\nRead less\nall rights reserved.", 3: "one two three five"}
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def edited(words, edits):
+    words = list(words)
+    for _ in range(edits):
+        at, how = random.randrange(len(words)), random.choice("rid")
+        words[at : at + (how != "i")] = [] if how == "d" else [random.choice(WORDS)]
+    return words
+
+
+def test_several_words_edited(spark):
+    """The bound grows with the line: against plain word distances."""
+    base = [prose(random.choice([4, 5, 8, 9, 10, 11, 14, 20, 36, 50])).split() for _ in range(40)]
+    every = base + [edited(w, random.randint(0, len(w) // 4 + 1)) for w in base for _ in range(4)]
+    random.shuffle(every)
+    far = {(i, j): plain_distance(every[i], every[j]) for i in range(len(every)) for j in range(i)}
+    near = lambda i, j: far[i, j] <= max(len(every[i]), len(every[j])) // 5
+    assert all(linededup.within_one([x.encode() for x in every[i]], [x.encode() for x in every[j]]) == near(i, j) for i, j in far)
+    want = {i for i in range(len(every)) if any(near(i, j) for j in range(i))}
+    assert sum(min(far[i, j] for j in range(i)) > 1 for i in want) > 20
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(every)], "doc_id long, text string")
+    assert {r.doc_id for r in linededup.repeated(docs, linededup.MIN_WORDS).select("doc_id").distinct().collect()} == want
+
+
 def test_top_k(spark):
     rows = [(k, [random.choice([0.0, 0.5, -0.25, 1.1]) for _ in range(6)]) for k in range(300)]
     rows += [(400, None), (450, []), (500, [1.0, None]), (550, [float("nan"), 1.0]), (600, [2.0]), (None, [1.0]), (50, [9.0] * 6)]
