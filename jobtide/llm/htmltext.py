@@ -2,7 +2,9 @@
 
 A page becomes a tree: end tags that HTML lets authors leave out are implied (p, li, dt, dd, option, table
 parts), unknown or stray end tags are passed over. Elements that a browser does not show are left out: the
-head, scripts, styles, templates, what is marked hidden or styled away, closed details and dialogs. The
+head, scripts, styles, templates, what is marked hidden or styled away, closed details and dialogs, embedded media
+and frames, and of drawings and formulas titles, descriptions, definitions and annotations. Invisible elements
+hide their text, but a child may be made visible again. Only style attributes are read, no style sheets. The
 rest is written as lines: blocks on lines of their own, paragraphs and headings apart by a blank line, list items
 behind a bullet or number at the depth of their list, table cells padded to the width of their column.
 
@@ -24,7 +26,9 @@ from jobtide.llm.common import ready
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes title datalist object audio video canvas svg math meta link base param source track".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes title datalist object audio video canvas meta link base param source track".split())
+#: Parts of drawings and formulas that are not shown; title and others above hold there too.
+UNSEEN_WITHIN = {"svg": frozenset("desc defs metadata symbol clippath mask marker pattern".split()), "math": frozenset(["annotation", "annotation-xml"])}
 #: Blocks apart by a blank line, and blocks on lines of their own.
 APART = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset hr menu".split())
 BLOCK = APART | frozenset(
@@ -56,7 +60,8 @@ for _open, (_starts, _) in CLOSED_BY.items():
 WALLS = {t: frozenset(["table"]) for t in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption")}
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+HIDING = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|hidden|collapse|inherit|initial|unset)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -117,12 +122,15 @@ def tree(page: str) -> Node:
                 break
         node = Node(tag, _attributes(m[3]) if m[3].strip() else {})
         open_[-1].children.append(node)
+        drawn = count["svg"] > 0 or count["math"] > 0 or tag in ("svg", "math", "path")
+        if m[3].endswith("/") and tag not in BLOCK and drawn:
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             inner = page[at : end.start() if end else len(page)]
             node.children.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not (m[3].endswith("/") and tag not in BLOCK and tag in ("svg", "math", "path")):
+        elif tag not in VOID:
             open_.append(node)
             count[tag] += 1
 
@@ -135,9 +143,19 @@ def _hidden(node: Node, parent: Node | None) -> bool:
         return a.get("type", "").lower() not in ("submit", "button", "reset")
     if parent is not None and parent.tag == "details" and "open" not in parent.attrs and node.tag != "summary":
         return True
+    # a collapsed row takes no room
+    if node.tag in ("tr", "tbody", "thead", "tfoot") and [x.lower() for x in VISIBILITY.findall(a.get("style", ""))][-1:] == ["collapse"]:
+        return True
     return "style" in a and bool(HIDING.search(a["style"]))
 
 
+def _seen(node: Node, parent: bool, inside: str) -> bool:
+    """Whether the element's own text is visible, given its parent's; a child may set it back."""
+    found = VISIBILITY.findall(node.attrs.get("style", ""))
+    own = (found[-1] if found else node.attrs.get("visibility", "") if inside == "svg" or node.tag == "svg" else "").lower().strip()
+    return own in ("visible", "initial") if own in ("visible", "initial", "hidden", "collapse") else parent
+
+
 class Sheet:
     """Lines under construction."""
 
@@ -239,12 +257,16 @@ def render(page: str | None) -> str:
     # (node, parent, False: enter, True: leave)
     walk: list[tuple] = [(tree(page), None, False)]
     pre = 0
+    # of the open elements: whether their own text shows, and the drawing or formula they are in
+    seen, inside = [True], [""]
     while walk:
         node, parent, leave = walk.pop()
         sheet = sheets[-1]
         if isinstance(node, str):
             if parent.tag in ("table", "tbody", "thead", "tfoot", "tr") and not node.strip() or parent.tag == "details" and "open" not in parent.attrs:
                 continue
+            if not seen[-1]:
+                continue
             if pre:
                 # the line break behind the start tag is no text
                 sheet.keep(node.removeprefix("\n") if parent.tag == "pre" and parent.children[0] is node else node)
@@ -253,7 +275,12 @@ def render(page: str | None) -> str:
             continue
         tag = node.tag
         if not leave:
-            if _hidden(node, parent):
+            if _hidden(node, parent) or tag in UNSEEN_WITHIN.get(inside[-1], ()):
+                continue
+            if inside[-1] == "svg" and node.attrs.get("display", "").strip().lower() == "none":
+                continue
+            shown = _seen(node, seen[-1], inside[-1])
+            if not shown and tag in ("br", "wbr", "input", "hr"):
                 continue
             if tag == "br":
                 if sheet.line or sheet.lead:
@@ -285,7 +312,7 @@ def render(page: str | None) -> str:
                 bullet = f"{order['next']}. " if order["tag"] == "ol" else "- "
                 order["next"] += 1
                 sheet._apart()
-                sheet.lead, sheet.indent = order["before"] + bullet, order["before"] + " " * len(bullet)
+                sheet.lead, sheet.indent = order["before"] + bullet if shown else "", order["before"] + " " * len(bullet)
             elif tag in LISTS:
                 nested = parent is not None and parent.tag == "li"
                 sheet.block(not nested)
@@ -302,11 +329,17 @@ def render(page: str | None) -> str:
                     sheet.indent += "    "
                 if tag == "pre":
                     pre += 1
-            elif tag == "q":
+            elif tag == "q" and shown:
                 sheet.put('"')
+            elif tag == "text" and inside[-1] == "svg":
+                # labels stand apart
+                sheet.block(False)
+            seen.append(shown)
+            inside.append(tag if tag in UNSEEN_WITHIN else "" if tag == "foreignobject" else inside[-1])
             walk.append((node, parent, True))
             walk.extend((child, node, False) for child in reversed(node.children))
             continue
+        shown, within = seen.pop(), inside.pop()
         if tag == "table":
             for line in grid(tables.pop()):
                 sheet._apart()
@@ -332,8 +365,10 @@ def render(page: str | None) -> str:
             sheet.block(tag in APART)
             if tag in ("dd", "blockquote"):
                 sheet.indent = sheet.indent[:-4]
-        elif tag == "q":
+        elif tag == "q" and shown:
             sheet.line += '"'
+        elif tag == "text" and within == "svg":
+            sheet.block(False)
     return sheets[0].text()
 
 

@@ -315,6 +315,21 @@ def test_page_text(page, text):
     assert htmltext.render(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("a<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><text>Q1</text><text x=1>Q2</text></svg>b", "a\nQ1\nQ2\nb"),
+        ("<svg><defs/><style/><circle r=1 /><g display=none><text>no</text></g><text>label</text></svg>", "label"),
+        ("so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> holds", "so x=2 holds"),
+        ("<div style='visibility:hidden'>no<br><q>no</q><p style='visibility: visible'>yes</p>no</div>end", "yes\n\nend"),
+        ("<ul><li style='visibility:hidden'>no<li>a</ul><p style='visibility:hidden'>no <b style='visibility:inherit'>no</b></p>z", "- a\n\nz"),
+        ("<table><tr style='visibility:collapse'><td>no<tr><td>b</table>", "b"),
+    ],
+)
+def test_drawings_formulas_and_visibility(page, text):
+    assert htmltext.render(page) == text
+
+
 def test_pages(spark):
     rows = [(1, None), (2, "<p>x"), (2, "<p>x"), (None, "<div>" * 5000 + "deep"), (3, "w " * 50_000)]
     table = spark.createDataFrame(rows, "page_id long, html string").withColumn("text", F.lit("other"))
