@@ -6,7 +6,8 @@ written (small letters, digits only), so that all its mentions, in all documents
 surrogate is drawn from a keyed hash: letters and digits change place by place and keep their kind, a card
 keeps its issuer digit and whether its check digit is right, an IBAN its country and a right check number, an IP
 address the number of digits of each part. A name is replaced word by word, given names by names of the same
-gender and script, family names by names of the same script; a family name alone refers to the same person.
+gender and script, family names by names of the same script; a family name alone refers to the same person. In a
+document with a titled name its parts are also replaced where they stand without title, as whole capitalised words.
 
 Draws are checked: a surrogate that is drawn for two entities, or that is itself an entity of the corpus, is
 kept by the first at most and drawn again for the others, until all differ. Names of several parts come in
@@ -56,6 +57,8 @@ KINDS = {
     "name": _TITLE + _NAME,
 }
 PATTERN = r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}+(._%-])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
+#: A capitalised word, which may be a name of the document that stands without title.
+WORD = r"(?<![\p{L}\p{N}])\p{Lu}\p{L}+(?:['’-]\p{L}+)*"
 #: A text without any of these holds none of the kinds.
 MAY = rf"[0-9@=:]|(?=[{''.join(sorted({t[0] for t in MALE + FEMALE + EITHER}))}])(?:{_TITLES})\.?\s"
 #: Failed draws after which an IP address may have parts of other lengths, and any form grows.
@@ -217,13 +220,35 @@ def _written(kind: Column, value: Column, surrogate: Column) -> Column:
     return F.when(compact, filled).when(kind.contains(" "), name).when(kind == "email", mail).otherwise(surrogate)
 
 
+def _again(piece: Column, names: Column) -> Column:
+    """A stretch of text's capitalised words: the new form of each, and whether it is a known name."""
+
+    def one(word: Column) -> Column:
+        stem = F.regexp_replace(word, "['’][sS]$", "")
+        own, short = F.try_element_at(names, F.lower(word)), F.try_element_at(names, F.lower(stem))
+        name = lambda value, new: _written(F.lit("family x"), value, new)
+        tail = F.substring(word, F.length(stem) + 1, F.length(word))
+        return F.struct(
+            F.when(own.isNotNull(), name(word, own)).when(short.isNotNull(), F.concat(name(stem, short), tail)).otherwise(word).alias("new"), (own.isNotNull() | short.isNotNull()).alias("known")
+        )
+
+    return F.transform(F.regexp_extract_all(piece, F.lit(WORD), F.lit(0)), one)
+
+
+def _mended(piece: Column, names: Column) -> Column:
+    """The stretch with known names replaced, and how many were."""
+    words = _again(piece, names)
+    text = F.array_join(F.flatten(F.transform(F.split(piece, WORD, -1), lambda s, i: F.when(i == 0, F.array(s)).otherwise(F.array(F.get(words, i - 1)["new"], s)))), "")
+    return F.struct(text.alias("text"), F.size(F.filter(words, lambda w: w["known"])).alias("n"))
+
+
 def replace(docs: DataFrame, key: str, counts: bool = False) -> DataFrame:
     """All rows and columns, with surrogates in the texts; with counts also ``n_entities``, the number of mentions."""
     spark = docs.sparkSession
     text = next(c for c in docs.columns if c.lower() == "text")
     hit = F.coalesce(F.col(text).rlike(MAY) & F.col(text).rlike(PATTERN), F.lit(False))
     k, n = free_name(docs, "key"), free_name(docs, "n_entities")
-    found, between, news = (free_name(docs, c) for c in ("found", "between", "news"))
+    found, between, news, names = (free_name(docs, c) for c in ("found", "between", "news", "names"))
     hits = docs.where(hit).select(
         "*", _join_key(docs, text).alias(k), _found(F.col(text)).alias(found), F.split(F.col(text), PATTERN, -1).alias(between)
     )
@@ -246,7 +271,7 @@ def replace(docs: DataFrame, key: str, counts: bool = False) -> DataFrame:
     flat = stored(spark, words.select("key", "pos", "sub", "before", kind.alias("kind"), "part", canon.alias("canon")), "mentions")
 
     table = surrogates(flat, key)
-    named = flat.join(table, ["kind", "canon"]).select("key", "pos", "sub", "before", _written(F.col("kind"), F.col("part"), F.col("surrogate")).alias("new"))
+    named = flat.join(table, ["kind", "canon"]).select("key", "pos", "sub", "before", "kind", "canon", "surrogate", _written(F.col("kind"), F.col("part"), F.col("surrogate")).alias("new"))
     per = named.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "sub", "before", "new"))).alias("news"))
     size = F.aggregate("news", F.lit(0), lambda a, x: F.greatest(a, x["pos"] + 1))
 
@@ -256,9 +281,16 @@ def replace(docs: DataFrame, key: str, counts: bool = False) -> DataFrame:
 
     whole = F.transform(F.sequence(F.lit(0), size - 1), mention)
     per = per.select(F.col("key").alias(k), whole.alias("news"))
-    joined = hits.join(per.withColumnRenamed("news", news), k, "left")
-    rebuilt = F.array_join(F.flatten(F.transform(F.col(between), lambda s, i: F.when(i == 0, F.array(s)).otherwise(F.array(F.get(F.col(news), i - 1), s)))), "")
-    changed = joined.withColumn(text, F.coalesce(rebuilt, F.col(text))).withColumn(n, F.coalesce(F.size(news), F.lit(0)).cast("long"))
+    # the parts of a document's names, as first met, are replaced wherever they stand in it
+    known = named.where(F.col("kind").contains(" ")).withColumn("canon", F.regexp_replace("canon", "['’]s$", ""))
+    known = known.groupBy("key", "canon").agg(F.min_by("surrogate", F.struct("pos", "sub")).alias("surrogate"))
+    known = known.groupBy(F.col("key").alias(k)).agg(F.map_from_entries(F.collect_list(F.struct("canon", "surrogate"))).alias(names))
+    joined = hits.join(per.withColumnRenamed("news", news), k, "left").join(known, k, "left")
+    plain = F.transform(F.col(between), lambda s: F.struct(s.alias("text"), F.lit(0).alias("n")))
+    joined = joined.withColumn(between, F.when(F.col(names).isNull(), plain).otherwise(F.transform(F.col(between), lambda s: _mended(s, F.col(names)))))
+    rebuilt = F.array_join(F.flatten(F.transform(F.col(between), lambda s, i: F.when(i == 0, F.array(s["text"])).otherwise(F.array(F.get(F.col(news), i - 1), s["text"])))), "")
+    again = F.aggregate(F.col(between), F.lit(0), lambda a, s: a + s["n"])
+    changed = joined.withColumn(text, F.coalesce(rebuilt, F.col(text))).withColumn(n, (F.coalesce(F.size(news), F.lit(0)) + again).cast("long"))
     same = docs.where(~hit).withColumn(n, F.lit(0).cast("long"))
     columns = [*docs.columns, *([n] if counts else [])]
     return same.select(*columns).unionByName(changed.select(*columns))

@@ -363,6 +363,14 @@ def test_surrogates(spark, docs, empty):
     assert pii.replace(empty, "k").count() == 0
 
 
+def test_names_again_without_title(spark):
+    rows = [(1, "Keller wrote. Mrs. Anna Keller came; then Anna Keller, KELLER and Keller's dog met Kellerman. keller"), (2, "Keller stays where nobody is titled, mail a.b@c.de")]
+    got = {r.doc_id: (r.text, r.n_entities) for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k", counts=True).collect()}
+    m = re.match(r"(\w+) wrote\. Mrs\. (\w+) (\w+) came; then (\w+) (\w+), (\w+) and (\w+)'s dog met Kellerman\. keller$", got[1][0])
+    assert m and m[2] == m[4] != "Anna" and m[1] == m[3] == m[5] == m[7] != "Keller" and m[6] == m[3].upper() and got[1][1] == 6
+    assert got[2][0].startswith("Keller stays") and got[2][1] == 1
+
+
 def test_surrogates_stay_distinct(spark):
     """More family names than the pool has, and all of one small space of addresses."""
     rows = [(k, f"Mr. {'ABCDEFGHIJ'[k // 10]}lo{'abcdefghij'[k % 10]}er wrote from {1 + k % 9}.{1 + k // 9}.3.4") for k in range(80)]
