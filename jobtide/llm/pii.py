@@ -60,7 +60,7 @@ PATTERN = r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}+(._%-])(?:" + "|".join(f"(?:{p})" fo
 #: A capitalised word, which may be a name of the document that stands without title.
 WORD = r"(?<![\p{L}\p{N}])\p{Lu}\p{L}+(?:['’-]\p{L}+)*"
 #: A text without any of these holds none of the kinds.
-MAY = rf"[0-9@=:]|(?=[{''.join(sorted({t[0] for t in MALE + FEMALE + EITHER}))}])(?:{_TITLES})\.?\s"
+MAY = rf"[0-9@=:]|AKIA|ASIA|gh[pousr]_|(?=[{''.join(sorted({t[0] for t in MALE + FEMALE + EITHER}))}])(?:{_TITLES})\.?\s"
 #: Failed draws after which an IP address may have parts of other lengths, and any form grows.
 FREE, WIDER = 3, 6
 DIGITS = ("ssn", "card", "phone")

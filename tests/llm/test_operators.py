@@ -371,6 +371,12 @@ def test_names_again_without_title(spark):
     assert got[2][0].startswith("Keller stays") and got[2][1] == 1
 
 
+def test_keys_of_letters_only(spark):
+    rows = [(1, "use AKIA" + "ABCDEFGH" * 2 + " now"), (2, "use ghp_" + "abcDEfghij" * 2 + " now")]
+    out = [r.text for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert "ABCDEFGH" not in out[0] and "abcDE" not in out[1] and out[0].startswith("use AKIA")
+
+
 def test_surrogates_stay_distinct(spark):
     """More family names than the pool has, and all of one small space of addresses."""
     rows = [(k, f"Mr. {'ABCDEFGHIJ'[k // 10]}lo{'abcdefghij'[k % 10]}er wrote from {1 + k % 9}.{1 + k // 9}.3.4") for k in range(80)]
