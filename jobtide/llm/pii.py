@@ -213,7 +213,10 @@ def _written(kind: Column, value: Column, surrogate: Column) -> Column:
     # the n-th digit of the mention becomes the n-th of the surrogate
     compact = kind.isin(*DIGITS, "iban")
     place = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), "[^0-9A-Za-z]", ""))
+    # what a surrogate has grown by stands behind
+    beyond = F.substring(surrogate, F.length(F.regexp_replace(value, "[^0-9A-Za-z]", "")) + 1, F.length(surrogate))
     filled = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(surrogate, place(i), F.lit(1))).otherwise(c)), "")
+    filled = F.concat(filled, beyond)
     title = F.regexp_replace(F.initcap(F.regexp_replace(surrogate, "-", " ")), " ", "-")
     name = F.when((value == F.upper(value)) & (F.length(value) > 1), F.upper(surrogate)).otherwise(title)
     mail = F.when((value == F.upper(value)) & (value != F.lower(value)), F.upper(surrogate)).otherwise(surrogate)

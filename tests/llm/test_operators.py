@@ -377,6 +377,11 @@ def test_keys_of_letters_only(spark):
     assert "ABCDEFGH" not in out[0] and "abcDE" not in out[1] and out[0].startswith("use AKIA")
 
 
+def test_grown_surrogates_are_written_whole(spark):
+    row = spark.range(1).select(*[pii._written(F.lit(k), F.lit(v), F.lit(s)) for k, v, s in (("phone", "55 512-345", "98765432ab"), ("phone", "55 512-345", "98765432"), ("iban", "DE89 3704", "DE123456x"))]).first()
+    assert tuple(row) == ("98 765-432ab", "98 765-432", "DE12 3456x")
+
+
 def test_surrogates_stay_distinct(spark):
     """More family names than the pool has, and all of one small space of addresses."""
     rows = [(k, f"Mr. {'ABCDEFGHIJ'[k // 10]}lo{'abcdefghij'[k % 10]}er wrote from {1 + k % 9}.{1 + k // 9}.3.4") for k in range(80)]
