@@ -52,15 +52,16 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` of every row; fp is the fingerprint as a signed 64-bit integer."""
+    """``doc_id, tie, fp`` of every row; tie is a hash of the text, fp the fingerprint as a signed 64-bit integer."""
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "tie", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(run, "doc_id long, tie long, fp long")
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -244,17 +245,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of one document of each component, the one with the smallest id, with all columns.
+    """One row of each component, the one with the smallest id and then hash of its text, with all columns.
 
-    Rows without ``doc_id`` stay. Of rows that repeat a kept id, one stays: the least by all columns.
+    Rows without ``doc_id`` come last. Of rows that repeat id and text, one stays: the least by all columns.
     """
-    kept = near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
-    kept = stored(docs.sparkSession, kept, "kept-documents")
-    gone = kept.where("doc_id <> c").select("doc_id")
-    twice = kept.where("doc_id = c AND n > 1").select("doc_id")
+    spark = docs.sparkSession
+    marked = stored(spark, fingerprints(docs), "fingerprints")
+    roots = components(links(marked.select("fp").distinct())).withColumnRenamed("node", "fp")
+    rows = marked.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"), "doc_id", "tie").agg(F.count(F.lit(1)).alias("n"))
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")).alias("e"))
+    stays = F.col("doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("tie") == F.col("e.tie"))
+    left, right, stay, row = (free_name(docs, c) for c in ("left_key", "right_key", "stay", "row"))
+    key = lambda d, t: F.struct(d.isNull().alias("a"), F.coalesce(d, F.lit(0)).alias("b"), t.alias("c"))
+    chosen = stored(spark, rows.join(least, "root").select(key(F.col("doc_id"), F.col("tie")).alias(right), "n", stays.alias(stay)), "kept-documents")
+    gone, twice = chosen.where(~F.col(stay)).select(right), chosen.where(F.col(stay) & (F.col("n") > 1)).select(right)
+    keyed = docs.withColumn(left, key(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
     if twice.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    alone = docs.join(gone.union(twice), "doc_id", "left_anti").select(*docs.columns)
-    row = free_name(docs, "row")
-    least = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias(row))
-    return alone.unionByName(least.select(f"{row}.*"))
+        return keyed.join(gone, F.col(left) == F.col(right), "left_anti").select(*docs.columns)
+    alone = keyed.join(gone.union(twice), F.col(left) == F.col(right), "left_anti").select(*docs.columns)
+    again = keyed.join(twice, F.col(left) == F.col(right), "left_semi").groupBy(left).agg(F.min(F.struct(*docs.columns)).alias(row))
+    return alone.unionByName(again.select(f"{row}.*"))

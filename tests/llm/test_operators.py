@@ -115,6 +115,14 @@ def test_simhash_components(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_keep_one_goes_by_row(spark):
+    """Ids that are used again, with other texts, and rows without id."""
+    a, b, c = "alpha beta gamma delta", "one two three four five", "red green blue black white grey"
+    rows = [(1, a), (5, b), (5, a), (None, a), (None, c), (None, c), (7, "some text of no other"), (7, b)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([(1, a), (5, b), (None, c), (7, "some text of no other")])
+
+
 def test_bit_sliced_links_match_popcounts(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CHUNK", 40)
     base = [random.getrandbits(64) for _ in range(20)]
