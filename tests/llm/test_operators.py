@@ -198,6 +198,12 @@ def test_max_entropy_base_and_gain(docs, empty):
     assert maxent.score(empty).count() == 0
 
 
+def test_pairs_have_the_whole_table():
+    words = np.random.default_rng(3).integers(1, maxent.BUCKETS, 400_000)
+    pairs = maxent.features(words, np.array([len(words)]))[3] - maxent.SPANS[3]
+    assert len(np.unique(pairs)) > 16_000
+
+
 def test_class_shares_add_up(spark):
     """All words and one unseen word of each form: probabilities of a class come to one."""
     words = spark.createDataFrame([(w, c) for w, c in Counter(prose(500).lower().split()).items()], "token string, c long")
