@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from jobtide.functions.text import SPACE, html_lines, unicode_pattern
 from jobtide.taxonomy import lookup
-from jobtide.values import items, roles, rows
+from jobtide.values import roles
 
 Rule = tuple[str, str, tuple[str, ...]]
 
 
 def builtin_rules() -> list[Rule]:
-    return [(name, family, items(patterns)) for name, family, patterns in rows(roles.ROLE_RULES)]
+    return list(roles.ROLE_RULES)
 
 
 def first_match(text: Column, patterns: Sequence[str]) -> Column:
@@ -89,8 +89,7 @@ def recode_family(role: Column, family: Column) -> Column:
 
 
 def mentions_technology(text: Column) -> Column:
-    patterns = [line for line in roles.TECHNOLOGY_POST_PATTERNS.splitlines() if line]
-    return F.lower(text).rlike(unicode_pattern("|".join(f"(?:{p})" for p in patterns)))
+    return F.lower(text).rlike(unicode_pattern("|".join(f"(?:{p})" for p in roles.TECHNOLOGY_POST_PATTERNS)))
 
 
 def is_technology_job(title: Column, description: Column) -> Column:
@@ -100,7 +99,7 @@ def is_technology_job(title: Column, description: Column) -> Column:
 
 
 def hiring_title(text: Column) -> Column:
-    labels = rows(roles.HIRING_TITLES)
+    labels = roles.HIRING_TITLES
     position = first_match(F.lower(text), [pattern for _, pattern in labels])
     named = F.get(F.array(*[F.lit(label) for label, _ in labels]), position)
     number = role_number(text)

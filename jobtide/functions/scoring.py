@@ -34,22 +34,27 @@ def opportunity_index(
     return clamp(half_even(score))
 
 
+#: The least index of a label, and the least gap of a status, the highest first; then what all others have.
+OPPORTUNITY_LABELS = ((75, "High-value"), (60, "Good bet"), (45, "Balanced"))
+LOWEST_LABEL = "Lower priority"
+GAP_STATUSES = ((2, "High opportunity"), (1, "Emerging opportunity"), (0, "Balanced"))
+LOWEST_STATUS = "Course-heavy"
+
+
+def _steps(value: Column, steps: tuple[tuple[int, str], ...], lowest: str) -> Column:
+    chain = F
+    for least, label in steps:
+        chain = chain.when(value >= least, F.lit(label))
+    return chain.otherwise(F.lit(lowest))
+
+
 def opportunity_label(index: Column) -> Column:
-    return (
-        F.when(index >= 75, F.lit("High-value"))
-        .when(index >= 60, F.lit("Good bet"))
-        .when(index >= 45, F.lit("Balanced"))
-        .otherwise(F.lit("Lower priority"))
-    )
+    return _steps(index, OPPORTUNITY_LABELS, LOWEST_LABEL)
 
 
 def gap_status(gap: Column) -> Column:
-    return (
-        F.when(gap >= 2, F.lit("High opportunity"))
-        .when(gap == 1, F.lit("Emerging opportunity"))
-        .when(gap == 0, F.lit("Balanced"))
-        .otherwise(F.lit("Course-heavy"))
-    )
+    """Status of a gap, which is a whole number."""
+    return _steps(gap, GAP_STATUSES, LOWEST_STATUS)
 
 
 def demand_supply_ratio(demand: Column, supply: Column) -> Column:
@@ -80,41 +85,20 @@ def recommendation_score(priority: Column, index: Column) -> Column:
     return half_even(number(priority) * F.lit(0.55) + number(index) * F.lit(0.45))
 
 
-# SQL functions for analysts.  Spark inlines their bodies, so they cost what the expressions cost.
+def _steps_sql(name: str, kind: str, steps: tuple[tuple[int, str], ...], lowest: str) -> str:
+    whens = " ".join(f"WHEN {name} >= {least} THEN '{label}'" for least, label in steps)
+    return f"({name} {kind}) RETURNS STRING RETURN CASE {whens} ELSE '{lowest}' END"
+
+
+# SQL functions for analysts, from the same values.  Spark inlines their bodies, so they cost what the expressions cost.
 SQL_FUNCTIONS = {
-    "opportunity_label": """
-        (idx DOUBLE) RETURNS STRING RETURN CASE
-          WHEN idx >= 75 THEN 'High-value' WHEN idx >= 60 THEN 'Good bet'
-          WHEN idx >= 45 THEN 'Balanced' ELSE 'Lower priority' END""",
-    "gap_status": """
-        (gap BIGINT) RETURNS STRING RETURN CASE
-          WHEN gap >= 2 THEN 'High opportunity' WHEN gap = 1 THEN 'Emerging opportunity'
-          WHEN gap = 0 THEN 'Balanced' ELSE 'Course-heavy' END""",
+    "opportunity_label": _steps_sql("idx", "DOUBLE", OPPORTUNITY_LABELS, LOWEST_LABEL),
+    "gap_status": _steps_sql("gap", "BIGINT", GAP_STATUSES, LOWEST_STATUS),
 }
 
 
 def register_sql_functions(spark: SparkSession) -> list[str]:
-    """Create temporary SQL functions: the score labels, ``classify_role`` and ``classify_role_family``."""
-    from jobtide.functions.roles import builtin_rules
-    from jobtide.functions.text import unicode_pattern
-    from jobtide.values import roles
-
-    def quoted(text: str) -> str:
-        return "r'" + text + "'"
-
-    title = r"lower(trim(regexp_replace(translate(coalesce(title, ''), '_-', '  '), r'\s+', ' ')))"
-    bodies = {}
-    for function, pick in (("classify_role", 0), ("classify_role_family", 1)):
-        whens = [
-            f"WHEN {title} RLIKE {quoted(unicode_pattern('|'.join(f'(?:{p})' for p in rule[2])))} THEN '{rule[pick]}'"
-            for rule in builtin_rules()
-        ]
-        for words, name, family in roles.ROLE_FALLBACKS:
-            test = " OR ".join(f"contains({title}, '{w}')" for w in words)
-            whens.append(f"WHEN {test} THEN '{(name, family)[pick]}'")
-        bodies[function] = (
-            f"(title STRING) RETURNS STRING RETURN CASE {' '.join(whens)} ELSE '{roles.ROLE_DEFAULT[pick]}' END"
-        )
-    for name, body in {**SQL_FUNCTIONS, **bodies}.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
-    return [*SQL_FUNCTIONS, *bodies]
+    """Register the functions for SQL users; see :mod:`jobtide.functions.sql_functions`."""
+    from jobtide.functions.sql_functions import register
+
+    return register(spark)

@@ -48,56 +48,33 @@ def normalize_skill_text(col: Column) -> Column:
 def match_skills(normalized: Column, taxonomy: Taxonomy) -> Column:
     """Skills found in a normalised text, as ``array<struct<skill, category, terms, confidence>>``.
 
-    Trying every pattern on every text costs (patterns x text length).  Each pattern begins with a
-    known word, so the text is cut into words once and intersected with all of those first words;
-    only skills whose first word is present have their patterns run.  The array stays ordered by
-    lower-cased skill name because the skills are numbered in that order.
+    Each pattern begins with known words, so the text is cut into words once and intersected with all of those
+    first words; a skill's patterns run only where one of its words is present. Patterns are literals, each
+    in a branch of its own, and so are compiled once and not row by row. The array is ordered by lower-cased skill name.
     """
-    skills = sorted(taxonomy.skills, key=lambda s: s.name.lower())
-    by_word: dict[str, list[int]] = {}
-    always: list[int] = []
-    for number, skill in enumerate(skills):
-        words = skill.first_words()
-        if words is None:
-            always.append(number)
-        for word in words or ():
-            by_word.setdefault(word, []).append(number)
-
-    numbers = F.array(*[F.lit(n) for n in always]).cast("array<int>")
-    if by_word:
-        present = F.array_intersect(
-            F.split(normalized, NOT_WORD), F.array(*[F.lit(w) for w in by_word])
-        )
-        skills_of = F.create_map(
-            *[x for w, ns in by_word.items() for x in (F.lit(w), F.array(*[F.lit(n) for n in ns]))]
-        )
-        found = F.flatten(F.transform(present, lambda w: F.element_at(skills_of, w)))
-        numbers = F.array_sort(F.array_distinct(F.concat(numbers, found)))
-
-    patterns = F.array(*[F.array(*[F.lit(unicode_pattern(p)) for p in s.patterns]) for s in skills])
-    names = F.array(*[F.lit(s.name) for s in skills])
-    categories = F.array(*[F.lit(s.category) for s in skills])
-
-    def terms_of(number: Column) -> Column:
-        hits = F.transform(
-            F.get(patterns, number),
-            lambda p: F.transform(F.regexp_extract_all(normalized, p, F.lit(0)), lambda t: F.trim(t)),
-        )
-        return F.array_sort(F.array_distinct(F.flatten(hits)))
-
-    matches = F.transform(
-        numbers,
-        lambda n: F.struct(
-            F.get(names, n).alias("skill"), F.get(categories, n).alias("category"), terms_of(n).alias("terms")
-        ),
+    skills = sorted((s for s in taxonomy.skills if s.patterns), key=lambda s: s.name.lower())
+    firsts = [s.first_words() for s in skills]
+    words = sorted({w for found in firsts for w in found or ()})
+    present = F.array_intersect(F.split(normalized, NOT_WORD), F.array(*[F.lit(w) for w in words]).cast("array<string>"))
+
+    def matched(here: Column) -> Column:
+        rows = []
+        for skill, found in zip(skills, firsts, strict=True):
+            terms = F.concat(*[F.regexp_extract_all(normalized, F.lit(unicode_pattern(p)), F.lit(0)) for p in skill.patterns])
+            row = F.struct(F.lit(skill.name).alias("skill"), F.lit(skill.category).alias("category"), terms.alias("terms"))
+            rows.append(row if found is None else F.when(F.arrays_overlap(here, F.array(*[F.lit(w) for w in found])), row))
+        return F.array(*rows)
+
+    # the words of a text are bound to a name by the outer array, so they are cut out once
+    matches = F.element_at(F.transform(F.array(present), matched), 1)
+    tidy = F.transform(
+        F.filter(matches, lambda m: F.size(m["terms"]) > 0),
+        lambda m: F.struct(m["skill"], m["category"], F.array_sort(F.array_distinct(F.transform(m["terms"], lambda t: F.trim(t)))).alias("terms")),
     )
     return F.transform(
-        F.filter(matches, lambda m: F.size(m["terms"]) > 0),
+        tidy,
         lambda m: F.struct(
-            m["skill"].alias("skill"),
-            m["category"].alias("category"),
-            m["terms"].alias("terms"),
-            match_confidence(F.size(m["terms"])).alias("confidence"),
+            m["skill"].alias("skill"), m["category"].alias("category"), m["terms"].alias("terms"), match_confidence(F.size(m["terms"])).alias("confidence")
         ),
     )
 

@@ -14,7 +14,7 @@ from jobtide.functions import scoring
 from jobtide.functions import text as tx
 from jobtide.literals import literal_frame
 from jobtide.taxonomy import DEFAULT_FAMILY, Taxonomy, builtin, lookup
-from jobtide.values import items, occupations, roles, rows, skills, sources
+from jobtide.values import occupations, roles, skills, sources
 
 JOB_TEXT = ("title", "description", "company", "location", "remote_type")
 COURSE_TEXT = ("title", "description", "subjects", "roles", "products", "platform")
@@ -126,7 +126,7 @@ def certification_families(skill: Column, taxonomy: Taxonomy | None = None) -> C
     """Role families of a certification's skill, as text."""
     taxonomy = taxonomy or builtin()
     own = {s.name: "|".join(s.families) for s in taxonomy.skills if s.families}
-    fallback = {name: "|".join(items(families)) for name, families in rows(skills.CERTIFICATION_FAMILIES)}
+    fallback = {name: "|".join(families) for name, families in skills.CERTIFICATION_FAMILIES.items()}
     return lookup({**fallback, **own}, skill, DEFAULT_FAMILY)
 
 

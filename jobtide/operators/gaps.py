@@ -28,8 +28,11 @@ def skill_list(df: DataFrame, column: str = "skills"):
 
 
 def explode_skills(df: DataFrame, *keep, column: str = "skills") -> DataFrame:
-    """One row per record and skill, blank skills dropped."""
-    return df.select(*keep, F.explode(skill_list(df, column)).alias("skill")).where(F.trim("skill") != "")
+    """One row per record and skill, blank skills dropped.
+
+    The outer form: from the other the optimizer infers a filter on the list, with a copy of whatever computes it.
+    """
+    return df.select(*keep, F.explode_outer(skill_list(df, column)).alias("skill")).where(F.trim("skill") != "")
 
 
 def midpoint(df: DataFrame):
@@ -54,7 +57,7 @@ _EVERY_JOB = ""
 
 
 def skill_totals(jobs: DataFrame, courses: DataFrame | None = None) -> DataFrame:
-    """Per skill: demand, supply, median salary midpoint, and the baseline over all jobs.
+    """Per skill: demand, supply, median salary midpoint, the largest demand and supply, and the baseline over all jobs.
 
     One pass over the jobs serves all of it.  Every job is also counted under a blank key, whose
     median is the baseline.
@@ -62,20 +65,32 @@ def skill_totals(jobs: DataFrame, courses: DataFrame | None = None) -> DataFrame
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
     named = F.filter(skill_list(jobs), lambda s: F.trim(s) != "")
     keys = F.concat(F.coalesce(named, F.array().cast("array<string>")), F.array(F.lit(_EVERY_JOB)))
-    rows = jobs.select(F.explode(keys).alias("skill"), midpoint(jobs).alias("value"), one.alias("job_demand"), zero.alias("course_supply"))
+    rows = jobs.select(F.explode_outer(keys).alias("skill"), midpoint(jobs).alias("value"), one.alias("job_demand"), zero.alias("course_supply"))
     if courses is not None:
         rows = rows.unionByName(
             explode_skills(courses, F.lit(None).cast("double").alias("value"), zero.alias("job_demand"), one.alias("course_supply"))
         )
     per_skill = exact_median(rows, ["skill"], "value", "median_salary", ["job_demand", "course_supply"])
     is_skill = F.col("skill") != _EVERY_JOB
-    # one row of maxima, whatever the number of skills
+    # one row of maxima, whatever the number of skills; one struct of all columns, so that its plan keeps the columns
+    # of the one it is compared with and shares its shuffles
     most = per_skill.agg(
-        F.max(F.when(is_skill, F.col("job_demand"))).alias("most_demand"),
-        F.max(F.when(is_skill, F.col("course_supply"))).alias("most_supply"),
-        F.max(F.when(~is_skill, F.col("median_salary"))).alias("baseline"),
+        F.struct(
+            F.max(F.when(is_skill, F.col("job_demand"))).alias("most_demand"),
+            F.max(F.when(is_skill, F.col("course_supply"))).alias("most_supply"),
+            F.max(F.when(~is_skill, F.col("median_salary"))).alias("baseline"),
+        ).alias("most")
+    )
+    return per_skill.where(is_skill).withColumn("most", most.scalar()).select("skill", "median_salary", "job_demand", "course_supply", "most.*")
+
+
+def skill_support(jobs: DataFrame, courses: DataFrame) -> DataFrame:
+    """Demand and supply per skill and nothing else, which is all that the check of their support needs."""
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = explode_skills(jobs, one.alias("job_demand"), zero.alias("course_supply")).unionByName(
+        explode_skills(courses, zero.alias("job_demand"), one.alias("course_supply"))
     )
-    return per_skill.where(is_skill).withColumns({c: most.select(c).scalar() for c in most.columns})
+    return both.groupBy("skill").agg(F.sum("job_demand").alias("job_demand"), F.sum("course_supply").alias("course_supply"))
 
 
 def _premium() -> Column:

@@ -1,7 +1,8 @@
 """Data-quality checks.
 
-Every dataset is aggregated once for all of its counters; duplicates add one grouped count per key.
-The counters of all datasets end in one row, and that row becomes the sixteen check rows.
+Every dataset is read once. Each record gives a few small rows, one for each test that it meets and one for each of
+its keys (identity, URL, host); they are counted together, first within each task, in one shuffle for all datasets. The
+counts end in one row, and that row becomes the sixteen check rows.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 
 from jobtide.functions.scalars import number, parse_time, percent_text
 from jobtide.functions.text import normalized_url, trusted_host, url_host
-from jobtide.operators.kpis import one_row
 from jobtide.values import sources
 
 JOB_FIELDS = ("external_id", "title", "company", "url")
@@ -55,43 +55,55 @@ def untrusted_hosts(df: DataFrame, allowed: list[str]) -> DataFrame:
     )
 
 
-def _host_counters(df: DataFrame, allowed: list[str], prefix: str) -> DataFrame:
-    """Untrusted records and the number of their hosts; :func:`untrusted_hosts` has the hosts as rows.
-
-    The message gives both numbers and no list, which as one text would grow with the data.
-    """
-    return untrusted_hosts(df, allowed).agg(
-        F.coalesce(F.sum("records"), F.lit(0)).alias(f"{prefix}_untrusted"),
-        F.count(F.lit(1)).alias(f"{prefix}_untrusted_hosts"),
-    )
-
-
-def dataset_counters(df: DataFrame, prefix: str, required: Sequence[str]) -> DataFrame:
-    """Counters of a dataset that need nothing but its own rows."""
+def record_tests(df: DataFrame, required: Sequence[str]) -> dict[str, Column]:
+    """What is counted about the records of a dataset, as conditions; columns it lacks are not tested."""
     has = set(df.columns)
-    counters = {
-        "rows": F.count(F.lit(1)),
-        "missing": count_long(_any([F.col(c).isNull() for c in required])),
-    }
+    tests = {"rows": F.lit(True), "missing": _any([F.col(c).isNull() for c in required])}
     if "skill_count" in has:
-        counters["no_skills"] = count_long(F.coalesce(number(F.col("skill_count")), F.lit(0.0)) == 0)
+        tests["no_skills"] = F.coalesce(number(F.col("skill_count")), F.lit(0.0)) == 0
     if "source_confidence" in has:
-        counters["bad_labels"] = count_long(~F.coalesce(F.col("source_confidence"), F.lit("")).isin(*sources.CONFIDENCE_LABELS))
+        tests["bad_labels"] = ~F.coalesce(F.col("source_confidence"), F.lit("")).isin(*sources.CONFIDENCE_LABELS)
     if {"salary_min", "salary_max"} <= has:
         low, high = number(F.col("salary_min")), number(F.col("salary_max"))
-        counters["salaries"] = count_long(low.isNotNull() | high.isNotNull())
-        counters["bad_salaries"] = count_long(_any([F.coalesce(t, F.lit(False)) for t in (low < 20000, high > 500000, low > high)]))
-    return df.agg(*[c.alias(f"{prefix}_{name}") for name, c in counters.items()])
+        tests["salaries"] = low.isNotNull() | high.isNotNull()
+        tests["bad_salaries"] = _any([F.coalesce(t, F.lit(False)) for t in (low < 20000, high > 500000, low > high)])
+    return tests
 
 
-def freshness_counters(df: DataFrame, column: str, prefix: str, as_of: Column, days: int) -> DataFrame:
+def freshness_tests(column: str, as_of: Column, days: int) -> dict[str, Column]:
+    """Records with a date, with one too far back, and with one in the future."""
     at = parse_time(F.col(column))
     age = F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(at)) / 86400)
-    return df.agg(
-        F.count(at).alias(f"{prefix}_dated"),
-        count_long(F.coalesce(age > days, F.lit(False))).alias(f"{prefix}_stale"),
-        count_long(F.coalesce(at > as_of, F.lit(False))).alias(f"{prefix}_future"),
-    )
+    return {"dated": at.isNotNull(), "stale": F.coalesce(age > days, F.lit(False)), "future": F.coalesce(at > as_of, F.lit(False))}
+
+
+def _counted(df: DataFrame, tests: dict[str, Column], prefix: str) -> DataFrame:
+    return df.agg(*[count_long(test).alias(f"{prefix}_{name}") for name, test in tests.items()])
+
+
+def dataset_counters(df: DataFrame, prefix: str, required: Sequence[str]) -> DataFrame:
+    """Counters of a dataset that need nothing but its own rows."""
+    return _counted(df, record_tests(df, required), prefix)
+
+
+def freshness_counters(df: DataFrame, column: str, prefix: str, as_of: Column, days: int) -> DataFrame:
+    return _counted(df, freshness_tests(column, as_of, days), prefix)
+
+
+def _observations(df: DataFrame, side: str, tests: dict[str, Column], keys: dict[str, tuple[Column, Column, Column | None]]) -> DataFrame:
+    """``side, kind, a, b``: a row for each test that a record meets and for each of its keys.
+
+    keys gives, for each kind, whether the record has such a key and its one or two parts.
+    """
+    none = F.lit(None).cast("string")
+
+    def row(kind: str, a: Column, b: Column | None = None) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), a.cast("string").alias("a"), (none if b is None else b.cast("string")).alias("b"))
+
+    met = [F.when(test, row("test", F.lit(name))) for name, test in tests.items()]
+    met += [F.when(present, row(kind, a, b)) for kind, (present, a, b) in keys.items()]
+    rows = df.select(F.explode_outer(F.array(*met)).alias("o")).where(F.col("o").isNotNull())
+    return rows.select(F.lit(side).alias("side"), "o.*")
 
 
 def _text(*parts: str | Column) -> Column:
@@ -135,26 +147,36 @@ def run_quality(
 ) -> DataFrame:
     """The sixteen checks in their fixed order, judged at the given time."""
     now = (F.lit(as_of) if isinstance(as_of, str) else as_of).cast("timestamp")
-    sides = (("jobs", jobs, JOB_FIELDS, job_domains), ("courses", courses, COURSE_FIELDS, course_domains))
-    frames = []
-    for name, df, required, domains in sides:
-        frames.append(dataset_counters(df, name, required))
-        frames.append(duplicates(df, ["source_name", "external_id"], f"{name}_duplicates"))
+    sides = (("jobs", jobs, JOB_FIELDS, job_domains, "posted_at", 365), ("courses", courses, COURSE_FIELDS, course_domains, "last_modified", 730))
+    frames, counters = [], {}
+    for side, df, required, domains, dated, days in sides:
+        tests = record_tests(df, required)
+        if dated in df.columns:
+            tests |= freshness_tests(dated, now, days)
+        keys = {"id": (F.lit(True), F.col("source_name"), F.col("external_id"))}
         if "url" in df.columns:
-            frames.append(_host_counters(df, domains, name))
-    if "url" in courses.columns:
-        frames.append(duplicate_urls(courses, "courses"))
-    if "posted_at" in jobs.columns:
-        frames.append(freshness_counters(jobs, "posted_at", "jobs", now, 365))
-    if "last_modified" in courses.columns:
-        frames.append(freshness_counters(courses, "last_modified", "courses", now, 730))
+            host, url = url_host(F.col("url")), normalized_url(F.col("url"))
+            keys["host"] = (~trusted_host(host, domains), host, None)
+            if side == "courses":
+                keys["url"] = (url != "", url, None)
+        frames.append(_observations(df, side, tests, keys))
+        here, n = F.col("side") == side, F.col("n")
+        counters |= {f"{side}_{name}": F.when(here & (F.col("kind") == "test") & (F.col("a") == name), n) for name in tests}
+        counters[f"{side}_duplicates"] = F.when(here & (F.col("kind") == "id"), n - 1)
+        if "host" in keys:
+            counters[f"{side}_untrusted"] = F.when(here & (F.col("kind") == "host"), n)
+            counters[f"{side}_untrusted_hosts"] = F.when(here & (F.col("kind") == "host"), 1)
+        if "url" in keys:
+            counters[f"{side}_urls"] = F.when(here & (F.col("kind") == "url"), n)
+            counters[f"{side}_url_duplicates"] = F.when(here & (F.col("kind") == "url"), n - 1)
     if gaps is not None:
         support = F.coalesce(number(F.col("job_demand")), F.lit(0.0)) + F.coalesce(number(F.col("course_supply")), F.lit(0.0))
-        frames.append(gaps.agg(F.count(F.lit(1)).alias("gap_rows"), count_long(support >= 3).alias("gap_supported")))
-    row = one_row(*frames)
-    return row.select(F.posexplode(F.array(*_checks(row.columns))).alias("position", "check")).select(
-        "position", "check.*"
-    ).orderBy("position").drop("position")
+        frames.append(_observations(gaps, "gap", {"rows": F.lit(True), "supported": support >= 3}, {}))
+        counters |= {f"gap_{name}": F.when((F.col("side") == "gap") & (F.col("a") == name), F.col("n")) for name in ("rows", "supported")}
+    counts = reduce(DataFrame.unionByName, frames).groupBy("side", "kind", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    row = counts.agg(*[F.coalesce(F.sum(value), F.lit(0)).cast("long").alias(name) for name, value in counters.items()])
+    # one row becomes sixteen, in their order
+    return row.select(F.explode(F.array(*_checks(row.columns))).alias("check")).select("check.*")
 
 
 def _checks(has: list[str]) -> list[Column]:

@@ -41,13 +41,18 @@ def run_pipeline(
     The clean tables are written once and read back.  Everything that follows starts from those
     files, so text is matched once and a lost executor repeats a read, not the extraction.  Writing
     a run again replaces its partitions, so a failed run can simply be started again.
+
+    Readers see nothing of a run until all of its snapshots are written and checked; then one rename publishes it. A run
+    that fails leaves no trace that they see, and one that is started again is withdrawn first. The warehouse and the logs
+    follow the publication, each of them repeatable.
     """
+    processed = f"{root}/processed"
+    tables.withdraw_run(spark, processed, run_id)
 
     def store(name: str, df: DataFrame) -> DataFrame:
         dataset, schema = schemas.DATASETS[name]
-        tables.write_snapshot(df, f"{root}/processed", dataset, run_id)
-        stored = tables.read_history(spark, f"{root}/processed", dataset, schema)
-        return stored.where(F.col("run_id") == run_id).select(*schema.fieldNames())
+        path = tables.write_snapshot(df, processed, dataset, run_id)
+        return spark.read.schema(schema).parquet(path)
 
     out = {
         "jobs": store("jobs", enrich.normalize_jobs(raw_jobs, taxonomy)),
@@ -60,6 +65,7 @@ def run_pipeline(
     )
     out["quality"] = store("quality", run_quality(out["jobs"], out["courses"], out["skill_gaps"], as_of))
 
+    tables.publish_run(spark, processed, run_id)
     warehouse = "skipped"
     if database is not None:
         tables.ensure_tables(spark, database)

@@ -16,6 +16,8 @@ from jobtide.functions.scalars import parse_time, run_timestamp, surrogate_key
 from jobtide.functions.text import blank_to_null
 from jobtide.operators.gaps import explode_skills
 from jobtide.operators.trends import latest_per_group
+from jobtide.taxonomy import lookup
+from jobtide.values.sources import CONFIDENCE_LABELS
 
 LIST_COLUMNS = ("skills", "skill_categories", "skill_match_terms")
 
@@ -157,13 +159,18 @@ def dim_location(jobs: DataFrame, trends: DataFrame) -> DataFrame:
 
 
 def dim_source(jobs: DataFrame, courses: DataFrame, trends: DataFrame) -> DataFrame:
-    """Sources with the label observed on their records; ``test_source`` where none was observed."""
+    """Sources with the label observed on their records; ``test_source`` where none was observed.
+
+    Of several labels of a source the one that stands for the best evidence holds, in the order of `CONFIDENCE_LABELS`; others come last.
+    """
     unknown = F.lit("unknown")
     observed = jobs.select("source_name", "source_confidence").unionByName(courses.select("source_name", "source_confidence"))
     seen = trends.select("source_name", F.lit(None).cast("string").alias("source_confidence")).where(F.col("source_name").isNotNull())
-    merged = observed.unionByName(seen).select(
-        F.coalesce("source_name", unknown).alias("source_name"), "source_confidence"
-    ).groupBy("source_name").agg(F.coalesce(F.max("source_confidence"), F.lit("test_source")).alias("source_confidence"))
+    rank = lookup({label: n for n, label in enumerate(CONFIDENCE_LABELS)}, F.col("source_confidence"), len(CONFIDENCE_LABELS))
+    best = F.min(F.when(F.col("source_confidence").isNotNull(), F.struct(rank.alias("rank"), "source_confidence")))["source_confidence"]
+    merged = observed.unionByName(seen).select(F.coalesce("source_name", unknown).alias("source_name"), "source_confidence").groupBy("source_name").agg(
+        F.coalesce(best, F.lit("test_source")).alias("source_confidence")
+    )
     return merged.select(F.md5("source_name").alias("source_key"), "source_name", "source_confidence")
 
 

@@ -7,9 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobtide.functions import json_walk
 from jobtide.functions import roles as rl
 from jobtide.functions.scalars import epoch_to_date, safe_int, salary_range, stable_id
-from jobtide.functions.text import blank_to_null, html_to_text, strip
+from jobtide.functions.text import blank_to_null, html_to_text
 from jobtide.operators.certifications import target_roles
 from jobtide.operators.dedupe import dedupe_by_key, latest_matching
 from jobtide.operators.trends import latest_per_group
@@ -242,39 +243,16 @@ def normalize_learning_repos(repos: DataFrame, topics: DataFrame) -> DataFrame:
 
 # --- credentials --------------------------------------------------------------------------------
 
-_TEXT_KEYS = ("en", "en-US", "@value", "name", "ceterms:name")
-
-
 def _first(values: Column) -> Column:
     return F.get(F.filter(values, lambda v: F.coalesce(v, F.lit("")) != ""), F.lit(0))
 
 
-def first_text(json: Column, depth: int = 3) -> Column:
-    """First text inside a JSON value that is a text, a list or a language map, nested up to ``depth``.
-
-    Lists are searched in order; maps by their well-known keys and then by any value.
-    """
-    plain = F.when(~json.rlike(r"^\s*[\[{]"), strip(json))
-    if depth == 0:
-        return plain
-    fields = F.from_json(json, "map<string,string>")
-    of_map = F.concat(F.transform(F.array(*[F.lit(k) for k in _TEXT_KEYS]), lambda k: F.element_at(fields, k)), F.map_values(fields))
-    inside = F.when(json.rlike(r"^\s*\["), F.from_json(json, "array<string>")).when(json.rlike(r"^\s*\{"), of_map)
-    return F.coalesce(plain, _first(F.transform(inside, lambda v: first_text(v, depth - 1))))
-
-
 def _either(json: Column, *keys: str) -> Column:
     fields = F.from_json(json, "map<string,string>")
     empty = ("", "[]", "{}", "null", "false", "0")
     return _first(F.transform(F.array(*[F.lit(k) for k in keys]), lambda k: F.when(~F.element_at(fields, k).isin(*empty), F.element_at(fields, k))))
 
 
-def organization_name(json: Column) -> Column:
-    """Name of the first organization with one; a bare text names none."""
-    as_list = F.when(json.rlike(r"^\s*\["), F.from_json(json, "array<string>")).otherwise(F.array(json))
-    return _first(F.transform(as_list, lambda o: F.when(o.rlike(r"^\s*\{"), first_text(_either(o, "ceterms:name", "name")))))
-
-
 def unwrap_results(responses: DataFrame, column: str = "value") -> DataFrame:
     """One row per resource of a search response: the entry's resource, or the entry itself."""
     results = F.from_json(_either(F.col(column), "Results", "results"), "array<string>")
@@ -286,26 +264,23 @@ def unwrap_results(responses: DataFrame, column: str = "value") -> DataFrame:
 def normalize_credentials(resources: DataFrame, verified: str, rules=catalogs.CREDENTIAL_KEYWORDS) -> DataFrame:
     """Registry resources with a name and a tracked skill as certification rows."""
     r = F.col("resource")
-    staged = resources.select(
-        r,
-        first_text(_either(r, "ceterms:name", "name")).alias("name"),
-        first_text(_either(r, "ceterms:description", "description")).alias("description"),
+    found = json_walk.texts(
+        r, name=("ceterms:name", "name"), description=("ceterms:description", "description"), page=("ceterms:subjectWebpage", "subjectWebpage")
     )
-    text = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("description", F.lit("")))
-    tagged = staged.withColumn("skill", rl.first_keyword(text, rules)).where(
-        (F.coalesce("name", F.lit("")) != "") & F.col("skill").isNotNull()
+    provider = json_walk.organizations(r, ("ceterms:ownedBy", "ceterms:offeredBy", "ownedBy", "offeredBy"), ("ceterms:name", "name"))
+    staged = resources.select(r, found.alias("found"), provider.alias("provider")).select("resource", "found.*", "provider")
+    tagged = staged.withColumn("skill", rl.first_keyword(F.concat_ws(" ", "name", "description"), rules)).where(
+        (F.col("name") != "") & F.col("skill").isNotNull()
     )
-    owner = _either(r, "ceterms:ownedBy", "ceterms:offeredBy", "ownedBy", "offeredBy")
-    page = first_text(_either(r, "ceterms:subjectWebpage", "subjectWebpage"))
     return tagged.select(
         "skill",
         F.col("name").alias("certification_name"),
-        F.coalesce(organization_name(owner), F.lit("Credential Engine publisher")).alias("provider"),
+        F.coalesce(blank_to_null(F.col("provider")), F.lit("Credential Engine publisher")).alias("provider"),
         F.lit("Not listed").alias("level"),
         F.lit("Not listed").alias("free_or_paid"),
         F.lit(None).cast("double").alias("estimated_cost_usd"),
         target_roles(F.col("skill")).alias("target_roles"),
-        F.coalesce(blank_to_null(page), _either(r, "@id"), F.lit("https://credentialfinder.org/")).alias("url"),
+        F.coalesce(blank_to_null(F.col("page")), _either(r, "@id"), F.lit("https://credentialfinder.org/")).alias("url"),
         F.lit(72).alias("priority_score"),
         F.lit("credential_engine_registry").alias("source_name"),
         F.lit("live_verified").alias("source_confidence"),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,16 +40,59 @@ def write_raw(df: DataFrame, root: str, dataset: str, run_id: str) -> str:
 
 def write_snapshot(df: DataFrame, root: str, dataset: str, run_id: str) -> str:
     """One immutable snapshot per dataset and run; writing a run again replaces only that run."""
-    path = f"{root}/{dataset}"
-    stored = df.drop("run_id").withColumn("run_id", F.lit(run_id))
-    stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
-    return f"{path}/run_id={run_id}"
+    path = f"{root}/{dataset}/run_id={run_id}"
+    # the folder of the run itself: a snapshot without rows is one too, and replaces an earlier one
+    df.drop("run_id").write.mode("overwrite").parquet(path)
+    return path
+
+
+#: Folder of the marks of published runs, beside the datasets of a snapshot root.
+PUBLISHED, STAGED = "_published", "_staged"
 
 
 def runs_of(spark: SparkSession, root: str, dataset: str) -> list[str]:
-    """Run ids with a snapshot, from the partition names alone."""
+    """Run ids with a snapshot, from the partition names alone; where runs are published, the published ones only."""
     names = storage.children(spark, f"{root}/{dataset}")
-    return [n.removeprefix("run_id=") for n in names if n.startswith("run_id=")]
+    runs = [n.removeprefix("run_id=") for n in names if n.startswith("run_id=")]
+    if not storage.exists(spark, f"{root}/{PUBLISHED}"):
+        return runs
+    published = set(storage.children(spark, f"{root}/{PUBLISHED}"))
+    return [r for r in runs if f"run_id={r}" in published]
+
+
+def withdraw_run(spark: SparkSession, root: str, run_id: str) -> None:
+    """Make a run invisible before its snapshots are written: from here on until it is published, readers do not see it."""
+    storage.make_folder(spark, f"{root}/{PUBLISHED}")
+    storage.delete(spark, f"{root}/{PUBLISHED}/run_id={run_id}")
+
+
+def publish_run(spark: SparkSession, root: str, run_id: str) -> DataFrame:
+    """Make a run visible in all datasets at once, if its output is complete; gives the check of the output.
+
+    The check is written as the run's mark, which one rename puts in place. A run that lacks a dataset, or a column of
+    one, is refused and stays invisible.
+    """
+    missing = []
+    for name, (dataset, schema) in schemas.DATASETS.items():
+        path = f"{root}/{dataset}/run_id={run_id}"
+        if not storage.exists(spark, path):
+            missing.append(name)
+            continue
+        # files of a snapshot without rows have a schema too
+        lacking = set(schema.fieldNames()) - set(spark.read.parquet(path).columns) - {"run_id"}
+        missing += [f"{name}.{c}" for c in sorted(lacking)]
+    if missing:
+        raise ValueError(f"run {run_id} is not published, it lacks {', '.join(missing)}")
+    counts = [
+        spark.read.parquet(f"{root}/{dataset}/run_id={run_id}").agg(F.count(F.lit(1)).alias("records")).select(F.lit(name).alias("name"), F.lit(dataset).alias("dataset"), F.lit(run_id).alias("run_id"), "records")
+        for name, (dataset, _) in schemas.DATASETS.items()
+    ]
+    stage, mark = f"{root}/{STAGED}/run_id={run_id}", f"{root}/{PUBLISHED}/run_id={run_id}"
+    report = reduce(DataFrame.unionByName, counts)
+    report.write.mode("overwrite").json(stage)
+    storage.make_folder(spark, f"{root}/{PUBLISHED}")
+    storage.rename(spark, stage, mark)
+    return spark.read.schema(report.schema).json(mark)
 
 
 def _with_run(schema: T.StructType) -> T.StructType:
@@ -56,9 +102,12 @@ def _with_run(schema: T.StructType) -> T.StructType:
 
 def read_history(spark: SparkSession, root: str, dataset: str, schema: T.StructType) -> DataFrame:
     """All snapshots of a dataset; columns a snapshot lacks are null."""
-    if not runs_of(spark, root, dataset):
+    runs = runs_of(spark, root, dataset)
+    if not runs:
         return spark.createDataFrame([], _with_run(schema))
-    return spark.read.schema(_with_run(schema)).parquet(f"{root}/{dataset}")
+    history = spark.read.schema(_with_run(schema)).parquet(f"{root}/{dataset}")
+    # partitions of runs that are not published are not opened
+    return history.where(F.col("run_id").isin(runs)) if storage.exists(spark, f"{root}/{PUBLISHED}") else history
 
 
 def read_latest(spark: SparkSession, root: str, dataset: str, schema: T.StructType) -> DataFrame:
@@ -108,17 +157,85 @@ def read_courses_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.COURSE_CSV).csv(path, header=True, quote='"', escape='"', enforceSchema=False)
 
 
+#: What a JSON text consists of besides plain characters: strings are entered and left, brackets nest.
+_STRUCTURE = re.compile(r'["\\\\{}\[\]]')
+
+
+class _Entries:
+    """Cuts the objects out of a JSON array, or of JSON lines, that comes in pieces in their order.
+
+    Only the object at hand is held. Entries that are no objects are passed over.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.path, self.parts, self.depth, self.base, self.text, self.escaped = path, [], 0, None, False, False
+
+    def add(self, piece: str) -> Iterator[str]:
+        if self.base is None:
+            piece = piece.lstrip("\ufeff")
+            first = piece.lstrip()[:1]
+            if not first:
+                return
+            if first not in "[{":
+                raise ValueError(f"a certification catalog must be a JSON array or lines of JSON objects: {self.path}")
+            self.base = 1 if first == "[" else 0
+        begin, skip = 0, -1
+        if self.escaped:
+            skip, self.escaped = 0, False
+        for found in _STRUCTURE.finditer(piece):
+            at, sign = found.start(), found.group()
+            if at == skip:
+                continue
+            if sign == "\\":
+                skip = at + 1
+                self.escaped = skip == len(piece)
+            elif sign == '"':
+                self.text = not self.text
+            elif not self.text and sign in "{[":
+                if self.depth == self.base and sign == "{":
+                    begin, self.parts = at, [""]
+                self.depth += 1
+            elif not self.text:
+                self.depth -= 1
+                if self.depth == self.base and sign == "}" and self.parts:
+                    yield "".join(self.parts) + piece[begin : at + 1]
+                    self.parts = []
+        if self.parts:
+            self.parts.append(piece[begin:])
+
+    def end(self) -> Iterator[str]:
+        """What the brace that ends a file's last piece closes; the reader does not tell whether there is one."""
+        if self.parts:
+            yield from self.add("}")
+
+
 def read_certifications_json(spark: SparkSession, path: str) -> DataFrame:
-    """Certifications from a JSON array; entries that are no objects are dropped.
+    """Certifications from files with a JSON array each, or with an object a line; entries that are no objects are dropped.
 
-    A file that holds something else than an array is refused: such a file shows up as a value that
-    does not parse as an array.
+    Files are read in pieces that end with a closing brace, as splits of any size; the pieces of a file are put in their
+    order and its objects cut out one by one, so no file is in memory whole. A file that holds something else fails the job.
     """
-    whole = spark.read.text(path, wholetext=True)
-    if whole.where(~F.trim("value").startswith("[")).limit(1).count():
-        raise ValueError("a certification catalog must be a JSON array")
-    entries = whole.select(F.explode(F.from_json("value", "array<string>")).alias("entry")).where(F.trim("entry").startswith("{"))
-    return entries.select(F.from_json("entry", schemas.CERTIFICATION).alias("c")).select("c.*")
+    read = spark.read.option("lineSep", "}").text(path)
+    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
+    ordered = read.select(*place, "value").repartition("file").sortWithinPartitions("file", "block", "at").select("file", "value")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = _Entries("")
+        for batch in batches:
+            out = []
+            for file, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if entries.path == file:
+                    out += entries.add("}")
+                else:
+                    out += entries.end()
+                    entries = _Entries(file)
+                out += entries.add(piece)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["entry"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(entries.end()), pa.string())], ["entry"])
+
+    found = ordered.mapInArrow(cut, "entry string").select(F.from_json("entry", schemas.CERTIFICATION).alias("c")).select("c.*")
+    # an entry that does not parse has no field at all
+    return found.where(F.coalesce(*[F.col(f).cast("string") for f in found.columns]).isNotNull())
 
 
 def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -243,21 +360,37 @@ def split_rejects(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFr
     return df.where(complete), df.where(~complete)
 
 
-def new_rows(df: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key is complete and not stored yet, the first of each key in input order, NaN stored as null."""
-    cleaned = df.select(*[
-        F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes
-    ])
-    complete, _ = split_rejects(cleaned, keys)
-    numbered = complete.withColumn("_ordinal", F.monotonically_increasing_id())
+def _cleaned(df: DataFrame) -> DataFrame:
+    """NaN as null."""
+    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+def new_rows(df: DataFrame, existing: DataFrame, keys: Sequence[str], order: Column | None = None) -> DataFrame:
+    """Rows whose key is complete and not stored yet, the first of each key, NaN stored as null.
+
+    order says which row of a key is the first. Without it that is the order in which the rows of df stand,
+    which is an order of the input only as long as df was not shuffled.
+    """
+    complete, _ = split_rejects(_cleaned(df), keys)
+    numbered = complete.withColumn("_ordinal", F.monotonically_increasing_id() if order is None else order)
     return latest_per_group(numbered, list(keys), F.asc("_ordinal")).drop("_ordinal").join(existing.select(*keys), list(keys), "left_anti")
 
 
-def append_idempotent(spark: SparkSession, df: DataFrame, path: str, keys: Sequence[str], run_id: str | None = None) -> None:
+def _staged(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows written once to the shared folder, since rows and rejects both come from them."""
+    path = storage.scratch(spark, "batch")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def append_idempotent(
+    spark: SparkSession, df: DataFrame, path: str, keys: Sequence[str], run_id: str | None = None, order: Column | None = None
+) -> None:
     """Append the rows whose key is not stored yet to a table partitioned by run.
 
     Rows of one run are compared with that run's partition only.  Rows that lack part of the key go
-    to ``<path>_rejects``; those of a run replace what an earlier attempt of it rejected.
+    to ``<path>_rejects``; those of a run replace what an earlier attempt of it rejected. Without a run id nothing
+    tells a repeated call from a new one, so its rejects are added again; :func:`append_batch` has a batch id.
     """
     batch = df if run_id is None else df.drop("run_id").withColumn("run_id", F.lit(run_id))
     if storage.exists(spark, path):
@@ -266,14 +399,109 @@ def append_idempotent(spark: SparkSession, df: DataFrame, path: str, keys: Seque
             existing = existing.where(F.col("run_id") == run_id)
     else:
         existing = spark.createDataFrame([], batch.schema)
-    rows = new_rows(batch, existing, keys)
+    ordinal = F.monotonically_increasing_id() if order is None else order
+    staged, stage = _staged(spark, batch.withColumn("_order", ordinal))
+    rows = new_rows(staged, existing, keys, F.col("_order")).drop("_order")
     writer = rows.write.mode("append")
     (writer.partitionBy("run_id") if "run_id" in rows.columns else writer).parquet(path)
-    _, rejects = split_rejects(batch, keys)
+    rejects = split_rejects(staged, keys)[1].drop("_order")
     if run_id is None:
         rejects.write.mode("append").parquet(f"{path}_rejects")
     else:
         _replace_run(rejects, f"{path}_rejects")
+    storage.delete(spark, stage)
+
+
+#: Parts of the keys that a table of batches has stored, by hash.
+KEY_BUCKETS = 64
+
+
+def _bucket(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def _batch_folder(path: str, batch_id: int | str) -> str:
+    return f"{path}/batch={batch_id}"
+
+
+def _batches(spark: SparkSession, path: str) -> set[str]:
+    """Names of the batches that have a folder; nothing is opened."""
+    return {n.removeprefix("batch=") for n in storage.children(spark, path) if n.startswith("batch=")}
+
+
+#: Folders of keys merged from those of several batches, and marks of the batches that are in them.
+_MERGED, _DONE = "merged-", "done="
+
+
+def stored_keys(spark: SparkSession, path: str, keys: Sequence[str], schema: T.StructType, batch_id: int | str, buckets: Sequence[int]) -> DataFrame:
+    """The keys in these buckets that batches other than this one have stored.
+
+    They come from ``<path>_keys``, which holds nothing but keys, by batch and bucket; buckets that are not asked for are not
+    opened. A batch that was cut off between its rows and its keys has its keys read from the rows.
+    """
+    whole, index_path = T.StructType([schema[k] for k in keys]), f"{path}_keys"
+    indexed = _batches(spark, index_path) - {str(batch_id)}
+    merged = {n.removeprefix(_DONE) for n in storage.children(spark, index_path) if n.startswith(_DONE)}
+    bare = _batches(spark, path) - indexed - merged - {str(batch_id)}
+    out = spark.createDataFrame([], whole)
+    wanted = F.col("bucket").isin([int(b) for b in buckets])
+    if indexed:
+        fields = T.StructType([*whole.fields, T.StructField("bucket", T.IntegerType())])
+        index = spark.read.schema(fields).option("basePath", index_path).parquet(*[_batch_folder(index_path, b) for b in sorted(indexed)])
+        out = out.unionByName(index.where(wanted).select(*keys))
+    if bare:
+        rows = spark.read.schema(whole).option("basePath", path).parquet(*[_batch_folder(path, b) for b in sorted(bare)])
+        out = out.unionByName(rows.withColumn("bucket", _bucket(keys)).where(wanted).select(*keys))
+    return out
+
+
+def append_batch(spark: SparkSession, df: DataFrame, path: str, keys: Sequence[str], batch_id: int | str, order: Column | None = None) -> None:
+    """Append the rows of a numbered batch whose key no other batch has stored.
+
+    Rows, their keys and the rejects of a batch have folders of their own, and a batch that comes again replaces them,
+    so a replay adds nothing, neither rows nor rejects. A batch meets only the stored keys of its own buckets; a small one is
+    sent to them (by Spark's size limit for broadcasts), so the stored keys are not shuffled.
+    """
+    ordinal = F.monotonically_increasing_id() if order is None else order
+    staged, stage = _staged(spark, _cleaned(df).withColumn("_order", ordinal).withColumn("_bucket", _bucket(keys)))
+    complete, rejects = split_rejects(staged, keys)
+    buckets = sorted(r[0] for r in complete.select("_bucket").distinct().collect())
+    known = stored_keys(spark, path, keys, df.schema, batch_id, buckets)
+    again = known.join(complete.select(*keys).distinct(), list(keys), "left_semi")
+    rows = latest_per_group(complete, list(keys), F.asc("_order")).join(again.distinct(), list(keys), "left_anti").drop("_order", "_bucket")
+    target = _batch_folder(path, batch_id)
+    rows.write.mode("overwrite").parquet(target)
+    written = spark.read.schema(df.schema).parquet(target).select(*keys).withColumn("bucket", _bucket(keys))
+    written.repartition("bucket").sortWithinPartitions("bucket", *keys).write.mode("overwrite").partitionBy("bucket").parquet(_batch_folder(f"{path}_keys", batch_id))
+    rejects.drop("_order", "_bucket").write.mode("overwrite").parquet(_batch_folder(f"{path}_rejects", batch_id))
+    storage.delete(spark, stage)
+
+
+def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of all batches."""
+    if not storage.exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+
+
+def compact_keys(spark: SparkSession, path: str, keys: Sequence[str], schema: T.StructType, keep: Sequence[int | str] = ()) -> None:
+    """One folder of keys in place of those of all batches, other than those to keep, so that their number does not grow for ever.
+
+    Keep the newest batch of each stream, since it may come again. The merged folder is complete before the others go, and
+    a mark stays for each of them; a key that stands in both for a while does no harm.
+    """
+    index_path = f"{path}_keys"
+    old = sorted(_batches(spark, index_path) - {str(k) for k in keep})
+    if len(old) < 2:
+        return
+    whole = T.StructType([*[schema[k] for k in keys], T.StructField("bucket", T.IntegerType())])
+    every = spark.read.schema(whole).option("basePath", index_path).parquet(*[_batch_folder(index_path, b) for b in old]).select(*keys, "bucket").distinct()
+    merged = _batch_folder(index_path, f"{_MERGED}{uuid.uuid4().hex[:12]}")
+    every.repartition("bucket").sortWithinPartitions("bucket", *keys).write.partitionBy("bucket").parquet(merged)
+    for batch in old:
+        if not batch.startswith(_MERGED):
+            storage.make_folder(spark, f"{index_path}/{_DONE}{batch}")
+        storage.delete(spark, _batch_folder(index_path, batch))
 
 
 def _replace_run(rows: DataFrame, path: str) -> None:
@@ -281,9 +509,10 @@ def _replace_run(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
-def ensure_tables(spark: SparkSession, database: str = "market_intel") -> list[str]:
-    """Create the warehouse tables, or add the columns an older table lacks."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+def ensure_tables(spark: SparkSession, database: str = "market_intel", location: str | None = None) -> list[str]:
+    """Create the warehouse tables, or add the columns an older table lacks; a new database may get a folder of its own."""
+    place = "" if location is None else f" LOCATION '{location}'"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{place}")
     done = []
     for table, schema in schemas.WAREHOUSE_TABLES.items():
         name = f"{database}.{table}"

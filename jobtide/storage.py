@@ -54,3 +54,36 @@ def children(spark: SparkSession, path: str) -> list[str]:
 def delete(spark: SparkSession, path: str) -> None:
     fs, hadoop_path = _file_system(spark, path)
     fs.delete(hadoop_path, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, hadoop_path = _file_system(spark, path)
+    fs.mkdirs(hadoop_path)
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Move a folder to a path that is not there yet."""
+    fs, hadoop_path = _file_system(spark, source)
+    _, to = _file_system(spark, target)
+    if fs.exists(to) or not fs.rename(hadoop_path, to):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, replaced if it is there."""
+    fs, hadoop_path = _file_system(spark, path)
+    out = fs.create(hadoop_path, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, hadoop_path = _file_system(spark, path)
+    size = fs.getFileStatus(hadoop_path).getLen()
+    file = fs.open(hadoop_path)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(file, size)).decode()
+    finally:
+        file.close()

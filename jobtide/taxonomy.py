@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtide.literals import literal_frame
-from jobtide.values import items, rows
 from jobtide.values import occupations as occ
 from jobtide.values import skills as sk
 
@@ -112,27 +111,17 @@ class Taxonomy:
         return literal_frame(spark, data, "skill string, position int, workplace_example string")
 
 
-def _signal(cell: str) -> tuple[int, int, int, str]:
-    growth, salary, saturation, direction = cell.split(" ", 3)
-    return int(growth), int(salary), int(saturation), direction
-
-
 @lru_cache(maxsize=1)
 def builtin() -> Taxonomy:
-    core = [Skill(n, c, items(p), (), (), *_signal(s)) for n, c, p, s in rows(sk.CORE_SKILLS)]
-    technology = [
-        Skill(n, c, items(p), items(f), items(r), *_signal(s)) for n, c, p, f, r, s in rows(sk.TECHNOLOGY_SKILLS)
-    ]
+    core = [Skill(name, category, patterns, (), (), *signal) for name, category, patterns, signal in sk.CORE_SKILLS]
+    technology = [Skill(*row, *signal) for *row, signal in sk.TECHNOLOGY_SKILLS]
     return Taxonomy(
         skills=tuple(core + technology),
-        category_families={k: items(v) for k, v in rows(sk.CATEGORY_FAMILIES)},
-        job_roles={k: items(v) for k, v in rows(sk.TARGET_JOB_ROLES)},
-        occupations=tuple(
-            Occupation(soc, title, int(wage), outlook, int(openings), float(growth), bls, onet)
-            for soc, title, wage, outlook, openings, growth, bls, onet in rows(occ.OCCUPATIONS)
-        ),
-        skill_occupations={k: items(v) for k, v in rows(occ.SKILL_OCCUPATIONS)},
-        examples={k: items(v) for k, v in rows(occ.WORKPLACE_EXAMPLES)},
+        category_families=sk.CATEGORY_FAMILIES,
+        job_roles=sk.TARGET_JOB_ROLES,
+        occupations=tuple(Occupation(*row) for row in occ.OCCUPATIONS),
+        skill_occupations=occ.SKILL_OCCUPATIONS,
+        examples=occ.WORKPLACE_EXAMPLES,
     )
 
 

@@ -1,11 +1 @@
-"""Fixed reference values and the parsing of their plain-text tables."""
-
-
-def rows(table: str) -> list[list[str]]:
-    """Rows of a ``;``-separated table, blank lines skipped."""
-    return [[cell.strip() for cell in line.split(" ; ")] for line in table.strip().splitlines() if line.strip()]
-
-
-def items(cell: str) -> tuple[str, ...]:
-    """Entries of a ``&&``-separated cell."""
-    return tuple(part.strip() for part in cell.split(" && ") if part.strip())
+"""Fixed reference values."""

@@ -148,8 +148,12 @@ SELECT CASE WHEN contains(p_name, 'ring') THEN 'Rings' ELSE 'Bolts' END AS skill
   CASE WHEN p_size % 3 = 0 THEN 'https://c.example.org/' || p_partkey ELSE 'urn:' || p_partkey END AS url
 FROM part WHERE contains(p_name, 'ring') OR contains(p_name, 'bolt')""")
 def normalize_credentials(spark, sf):
+    # names lie 1, 4 or 50 levels deep, in lists within maps
     name = F.to_json(F.struct(F.lit("").alias("de"), F.concat("p_name", F.lit(" expert ")).alias("en")))
+    levels = F.when(F.expr("p_partkey % 3 = 0"), 0).when(F.expr("p_partkey % 3 = 1"), 3).otherwise(49)
+    name = F.concat(F.repeat(F.lit('[null, 7, {"x": '), levels), name, F.repeat(F.lit("}]"), levels))
     owner = F.when(F.expr("p_size % 2 = 0"), F.to_json(F.array(F.struct(F.struct(F.array("p_type").alias("@value")).alias("ceterms:name")))))
+    owner = F.concat(F.repeat(F.lit('["a bare text names none", '), levels), owner, F.repeat(F.lit("]"), levels))
     page = F.when(F.expr("p_size % 3 = 0"), F.concat(F.lit('["", "https://c.example.org/'), "p_partkey", F.lit('"]'))).otherwise(F.lit("[]"))
     resource = F.concat(
         F.lit('{"@id":"urn:'), "p_partkey", F.lit('","ceterms:name":'), name, F.lit(',"ceterms:ownedBy":'), F.coalesce(owner, F.lit("null")), F.lit(',"ceterms:subjectWebpage":'), page, F.lit("}"))
@@ -305,23 +309,46 @@ SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, event_type AS skill
 def stream_weekly(spark, sf):
     root = storage.scratch(spark, "weekly")
     counts = streams.windowed_skill_counts(_events(spark, sf), "ts", "event_type", "1 week", "7 days")
-    _finished(streams.write_updates(counts, f"{root}/out", f"{root}/checkpoint"))
-    return streams.read_updates(spark, f"{root}/out", ["window_start", "skill"]).select(F.date_format("window_start", "yyyy-MM-dd").alias("week"), "skill", "job_count")
+    _finished(streams.write_updates(counts, f"{root}/out", f"{root}/checkpoint", ["window_start", "skill"]))
+    return streams.read_updates(spark, f"{root}/out").select(F.date_format("window_start", "yyyy-MM-dd").alias("week"), "skill", "job_count")
 
 
 @query("stream_daily", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS skill, count(*) AS job_count FROM events GROUP BY 1, 2")
 def stream_daily(spark, sf):
     root = storage.scratch(spark, "daily")
     counts = streams.windowed_skill_counts(_events(spark, sf), "ts", "event_type", "1 day", "1 day")
-    _finished(streams.write_updates(counts, f"{root}/out", f"{root}/checkpoint"))
-    return streams.read_updates(spark, f"{root}/out", ["window_start", "skill"]).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "skill", "job_count")
+    _finished(streams.write_updates(counts, f"{root}/out", f"{root}/checkpoint", ["window_start", "skill"]))
+    return streams.read_updates(spark, f"{root}/out").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "skill", "job_count")
 
 
-@query("stream_latest_run", """
+LATEST_RUN_SQL = """
 WITH r AS (SELECT date_trunc('week', ts) AS w, strftime(ts, '%Y%m%d') || '_' || event_id AS run_id, ts FROM events)
-SELECT strftime(w, '%Y-%m-%d') AS week, run_id FROM r QUALIFY row_number() OVER (PARTITION BY w ORDER BY ts DESC, run_id DESC) = 1""")
+SELECT strftime(w, '%Y-%m-%d') AS week, run_id FROM r QUALIFY row_number() OVER (PARTITION BY w ORDER BY ts DESC, run_id DESC) = 1"""
+
+
+@query("stream_latest_run", LATEST_RUN_SQL)
 def stream_latest_run(spark, sf):
     root = storage.scratch(spark, "latest")
     runs = _events(spark, sf).select("ts", F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("_"), "event_id").alias("run_id"))
-    _finished(streams.write_updates(streams.latest_run_per_week(runs, "run_id", "ts"), f"{root}/out", f"{root}/checkpoint"))
-    return streams.read_updates(spark, f"{root}/out", ["window_start"]).select(F.date_format("window_start", "yyyy-MM-dd").alias("week"), "run_id")
+    _finished(streams.write_updates(streams.latest_run_per_week(runs, "run_id", "ts"), f"{root}/out", f"{root}/checkpoint", ["window_start"]))
+    return streams.read_updates(spark, f"{root}/out").select(F.date_format("window_start", "yyyy-MM-dd").alias("week"), "run_id")
+
+
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@query("stream_latest_run_state", LATEST_RUN_SQL)
+def stream_latest_run_state(spark, sf):
+    # files in no order of time, a batch each: later batches bring older runs of weeks that are known
+    root = storage.scratch(spark, "latest-state")
+    b.table(spark, sf, "events").select("ts", "event_id").repartition(4, "event_id").write.parquet(f"{root}/landed")
+    landed = streams.read_stream(spark, f"{root}/landed", "ts timestamp_ntz, event_id long", "parquet", files_per_batch=1)
+    runs = landed.select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("_"), "event_id").alias("run_id"))
+    setting, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(setting, _ROCKS)
+    try:
+        newest = streams.latest_run_state(runs, "run_id", "ts", "60 days")
+        _finished(streams.write_updates(newest, f"{root}/out", f"{root}/checkpoint", ["window_start"]))
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+    return streams.read_updates(spark, f"{root}/out").select(F.date_format("window_start", "yyyy-MM-dd").alias("week"), "run_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobtide.operators import filters, kpis, quality
+from jobtide.operators import filters, gaps, kpis, quality
 from workload import bindings as b
 from workload.registry import query
 
@@ -15,10 +15,8 @@ LABELS = "'live_verified', 'live_broad', 'curated_demo', 'fallback_learning', 't
 
 
 def checks(spark, sf):
-    from workload.text_queries import gaps
-
     jobs, courses = b.text_jobs(spark, sf), b.text_courses(spark, sf)
-    return quality.run_quality(jobs, courses, gaps.skill_gap_summary(jobs, courses, b.text_taxonomy()), AS_OF, JOB_DOMAINS, COURSE_DOMAINS)
+    return quality.run_quality(jobs, courses, gaps.skill_support(jobs, courses), AS_OF, JOB_DOMAINS, COURSE_DOMAINS)
 
 
 CHECKS_SQL = f"""{b.TEXT_JOBS_SQL}, {b.TEXT_COURSES_SQL},

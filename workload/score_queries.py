@@ -230,7 +230,8 @@ def search_certs(spark, sf):
 # --- key figures --------------------------------------------------------------------------------
 
 def quality(spark, sf):
-    return run_quality(b.part_jobs(spark, sf), b.part_courses(spark, sf), part_gaps(spark, sf), AS_OF)
+    jobs, courses = b.part_jobs(spark, sf), b.part_courses(spark, sf)
+    return run_quality(jobs, courses, gaps.skill_support(jobs, courses), AS_OF)
 
 
 @query("kpis", f"""
