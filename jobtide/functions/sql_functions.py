@@ -67,7 +67,6 @@ class _SplitItems:
                 yield position, item.strip()
 
 
-@F.pandas_udf("string")
 def _families(values: pd.Series) -> str:
     names = {name.strip() for value in values.dropna() for name in value.split("|")}
     return " | ".join(sorted(names - {""}))
@@ -98,5 +97,5 @@ def register(spark: SparkSession, taxonomy: Taxonomy | None = None) -> list[str]
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
     spark.udtf.register("extract_skills", extract_skills_function(taxonomy or builtin()))
     spark.udtf.register("split_items", F.udtf(_SplitItems, returnType="position int, item string"))
-    spark.udf.register("role_families", _families)
+    spark.udf.register("role_families", F.pandas_udf(_families, "string"))
     return [*labels, "extract_skills", "split_items", "role_families"]

@@ -149,12 +149,14 @@ def health(spark: SparkSession, root: str) -> dict[str, object]:
 
 # --- files handed over by people ----------------------------------------------------------------
 
-def read_jobs_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.JOB_CSV).csv(path, header=True, quote='"', escape='"', enforceSchema=False)
+def read_jobs_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Jobs from CSV files with a header; with multi_line quoted values may hold line ends, and a file is one split."""
+    return spark.read.schema(schemas.JOB_CSV).csv(path, header=True, quote='"', escape='"', enforceSchema=False, multiLine=multi_line)
 
 
-def read_courses_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.COURSE_CSV).csv(path, header=True, quote='"', escape='"', enforceSchema=False)
+def read_courses_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Courses from CSV files with a header; with multi_line quoted values may hold line ends, and a file is one split."""
+    return spark.read.schema(schemas.COURSE_CSV).csv(path, header=True, quote='"', escape='"', enforceSchema=False, multiLine=multi_line)
 
 
 #: What a JSON text consists of besides plain characters: strings are entered and left, brackets nest.
