@@ -234,16 +234,37 @@ def quality(spark, sf):
     return run_quality(jobs, courses, gaps.skill_support(jobs, courses), AS_OF)
 
 
+#: The sixteen checks of the parts; the domains of the jobs are no trusted ones, and the courses have no dates.
+QUALITY_SQL = """
+qj AS (SELECT count(*) AS n, count(*) - count(DISTINCT (source_name, external_id)) AS dup, count(*) FILTER (WHERE salary_min < 20000 OR salary_max > 500000 OR salary_min > salary_max) AS bad,
+  count(*) FILTER (WHERE NOT regexp_matches(source_confidence, '^(live_verified|live_broad|curated_demo|fallback_learning|test_source)$')) AS labels,
+  count(*) FILTER (WHERE date_diff('day', CAST(posted_at AS DATE), DATE '2001-12-31') > 365) AS stale, count(*) FILTER (WHERE CAST(posted_at AS DATE) > DATE '2001-12-31') AS ahead FROM pjobs),
+qc AS (SELECT count(*) AS n, count(*) - count(DISTINCT (source_name, external_id)) AS dup, count(*) - count(DISTINCT url) AS urls FROM pcourses),
+qs AS (SELECT skill, sum(n) AS n FROM (SELECT unnest(skills) AS skill, 1 AS n FROM pjobs UNION ALL SELECT unnest(skills), 1 FROM pcourses) GROUP BY 1),
+quality AS (
+  SELECT 'jobs' AS dataset, 'required_fields_present' AS check_name, 'pass' AS status, 'high' AS severity, 0::BIGINT AS failed_count
+  UNION ALL SELECT 'courses', 'required_fields_present', 'pass', 'high', 0
+  UNION ALL SELECT 'jobs', 'duplicate_records', if(dup = 0, 'pass', 'fail'), 'medium', dup FROM qj
+  UNION ALL SELECT 'courses', 'duplicate_records', if(dup = 0, 'pass', 'fail'), 'medium', dup FROM qc
+  UNION ALL SELECT 'courses', 'duplicate_urls', if(urls = 0, 'pass', 'fail'), 'medium', urls FROM qc
+  UNION ALL SELECT 'jobs', 'salary_range_valid', if(bad = 0, 'pass', 'fail'), if(bad = 0, 'medium', 'high'), bad FROM qj
+  UNION ALL SELECT 'jobs', 'skills_extracted', 'pass', 'medium', 0 UNION ALL SELECT 'courses', 'skills_extracted', 'pass', 'medium', 0
+  UNION ALL SELECT 'jobs', 'trusted_source_domains', if(n = 0, 'pass', 'warning'), 'medium', n FROM qj UNION ALL SELECT 'courses', 'trusted_source_domains', 'pass', 'medium', 0
+  UNION ALL SELECT 'jobs', 'source_confidence_labels', if(labels = 0, 'pass', 'warning'), 'medium', labels FROM qj UNION ALL SELECT 'courses', 'source_confidence_labels', 'pass', 'medium', 0
+  UNION ALL SELECT 'jobs', 'posting_date_freshness', if(stale + ahead = 0, 'pass', 'warning'), 'low', stale + ahead FROM qj UNION ALL SELECT 'courses', 'course_freshness', 'warning', 'low', 0
+  UNION ALL SELECT 'pipeline', 'sample_size_ready', if(qj.n >= 30 AND qc.n >= 30, 'pass', 'warning'), 'high', if(qj.n >= 30 AND qc.n >= 30, 0, 1) FROM qj, qc
+  UNION ALL SELECT 'skill_gaps', 'skill_gap_support', if(count(*) FILTER (WHERE n >= 3) >= 3, 'pass', 'warning'), 'high', count(*) FILTER (WHERE n < 3) FROM qs)"""
+
+
 @query("kpis", f"""
-WITH {b.PART_GAPS_SQL}, {b.TRENDS_SQL}
+WITH {b.PART_GAPS_SQL}, {b.TRENDS_SQL}, {QUALITY_SQL}
 SELECT (SELECT count(*) FROM pjobs) AS job_postings, (SELECT count(*) FROM pcourses) AS course_listings, (SELECT count(DISTINCT skill) FROM gaps) AS unique_skills,
   (SELECT count(*) FROM gaps WHERE status = 'High opportunity') AS high_opportunity_skills, (SELECT count(*) FROM gaps WHERE opportunity_label = 'High-value') AS high_value_skills,
   (SELECT count(*) FROM trends) AS trend_snapshot_rows, (SELECT count(DISTINCT run_id) FROM trends) AS historical_runs_available, 1.0::DOUBLE AS job_skill_coverage, 1.0::DOUBLE AS course_skill_coverage,
   (SELECT skill FROM gaps ORDER BY opportunity_index DESC, skill LIMIT 1) AS top_opportunity_skill, (SELECT skill FROM gaps ORDER BY gap_score DESC, skill LIMIT 1) AS top_gap_skill,
-  (SELECT skill FROM gaps ORDER BY gap_score, skill LIMIT 1) AS top_course_heavy_skill""")
+  (SELECT skill FROM gaps ORDER BY gap_score, skill LIMIT 1) AS top_course_heavy_skill, (SELECT count(*) FROM quality WHERE status <> 'pass') AS quality_warnings""")
 def kpi_row(spark, sf):
-    none = b.table(spark, sf, "region").select(F.lit("pass").alias("status"))
-    return kpis.kpis(b.part_jobs(spark, sf), b.part_courses(spark, sf), part_gaps(spark, sf), b.trends(spark, sf), none).drop("run_id", "quality_warnings")
+    return kpis.kpis(b.part_jobs(spark, sf), b.part_courses(spark, sf), part_gaps(spark, sf), b.trends(spark, sf), quality(spark, sf)).drop("run_id")
 
 
 @query("coverage", f"""

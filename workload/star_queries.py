@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobtide import storage
+from jobtide.operators import certifications as ce
+from jobtide.operators import gaps
+from jobtide.operators.quality import run_quality
 from jobtide.operators.trends import skill_trend_history
 from jobtide.plans import measures, star
 from workload import bindings as b
 from workload.registry import query
-from workload.score_queries import part_gaps, quality, recommendations
+from workload.score_queries import AS_OF, QUALITY_SQL, part_gaps
 
 RUN = "20010801_000000"
 
@@ -187,32 +190,28 @@ def calendar_join(spark, sf):
 
 # --- measures -----------------------------------------------------------------------------------
 
-_models: dict[tuple[str, str], star.Tables] = {}
+_models: dict[tuple[str, str], dict] = {}
 
 
 def model(spark, sf):
-    """The star schema as the reports find it: tables written once and read back.
-
-    A table is built from the generated tables when a measure first asks for it.
-    """
+    """The star schema as the reports find it: all tables written once, in one step, and read back."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _models:
-        outputs = star.Tables({
-            "jobs": lambda t: b.part_jobs(spark, sf),
-            "courses": lambda t: b.part_courses(spark, sf),
-            "skill_gaps": lambda t: part_gaps(spark, sf),
-            "trend_history": lambda t: trends(spark, sf),
-            "certifications": lambda t: recommendations(spark, sf),
-            "quality": lambda t: quality(spark, sf),
-        })
-        built, root = star.build(outputs, RUN), storage.scratch(spark, "star")
-
-        def stored(name):
-            df = built[name]
-            df.write.mode("overwrite").parquet(f"{root}/{name}")
+        root = storage.scratch(spark, "star")
+
+        def stored(name, df):
+            df.write.parquet(f"{root}/{name}")
             return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
-        _models[key] = star.Tables({name: lambda t, n=name: stored(n) for name in built})
+        jobs, courses = stored("jobs", b.part_jobs(spark, sf)), stored("courses", b.part_courses(spark, sf))
+        scored = stored("gaps", gaps.skill_gap_summary(jobs, courses, b.part_taxonomy()))
+        outputs = {
+            "jobs": jobs, "courses": courses, "skill_gaps": scored, "trend_history": stored("trends", skill_trend_history(jobs, courses, F.col("run_id"))),
+            "certifications": ce.certification_recommendations(b.certifications(spark, sf), scored, b.part_taxonomy(), ordinal="ordinal"),
+            "quality": run_quality(jobs, courses, scored, AS_OF),
+        }
+        built = star.build(outputs, RUN)
+        _models[key] = {name: stored(f"star-{name}", built[name]) for name in built}
     return _models[key]
 
 
@@ -276,6 +275,6 @@ def measure_quality_failures(spark, sf):
     return measures.quality_failures(model(spark, sf), ["dataset"])
 
 
-@query("report_quality_table")
+@query("report_quality_table", f"WITH {b.PART_JOBS_SQL}, {QUALITY_SQL} SELECT dataset, check_name, status, severity, failed_count FROM quality")
 def report_quality_table(spark, sf):
     return measures.quality_table(model(spark, sf))
