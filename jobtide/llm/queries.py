@@ -95,7 +95,7 @@ def op6(spark, sf):
 
 @query("op7_line_dedup")
 def op7(spark, sf):
-    return linededup.deduplicate(table(spark, sf, "documents").select("doc_id", "text"), report=True, least=linededup.MIN_WORDS)
+    return linededup.deduplicate(table(spark, sf, "documents").select("doc_id", "text"), report=True, least=linededup.MIN_WORDS, exact=False)
 
 
 @query("op8_page_text")
