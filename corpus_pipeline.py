@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one, or nearly so, go; documents stay."""
     ready(spark)
-    return linededup.deduplicate(docs, least=linededup.MIN_WORDS)
+    return linededup.deduplicate(docs, least=linededup.MIN_WORDS, exact=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
