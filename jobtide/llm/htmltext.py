@@ -8,6 +8,9 @@ hide their text, but a child may be made visible again. Only style attributes ar
 rest is written as lines: blocks on lines of their own, paragraphs and headings apart by a blank line, list items
 behind a bullet or number at the depth of their list, table cells padded to the width of their column.
 
+Numbers of lists, spans and character references hold as far as they have at most nine digits (seven). Time and memory grow with the
+page, whatever it leaves open or spans: indents end at `DEEPEST` columns, and columns that begin beyond `WIDEST` are not aligned.
+
 Null and empty pages give an empty text. Repeated rows give repeated results; other columns are not read.
 """
 
@@ -15,8 +18,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,7 +63,14 @@ for _open, (_starts, _) in CLOSED_BY.items():
         _CLOSES[_tag] = _CLOSES.get(_tag, frozenset()) | {_open}
 #: End tags do not reach beyond these.
 WALLS = {t: frozenset(["table"]) for t in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption")}
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What may begin a tag, and what a tag holds up to its end; quantifiers that give nothing back, so no text is read twice.
+OPENING = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+INNER = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+NUMBER = re.compile(r"-?[0-9]{1,9}")
+#: References by numbers that no character has, or with zeros in front.
+ZEROS, BEYOND = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
+#: Columns of text beyond which nothing is indented further or aligned.
+DEEPEST, WIDEST = 160, 1000
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 HIDING = re.compile(r"display\s*:\s*none", re.I)
 VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|hidden|collapse|inherit|initial|unset)", re.I)
@@ -72,17 +84,76 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
+def _unescaped(text: str) -> str:
+    if "&#" in text:
+        text = BEYOND.sub("\ufffd", ZEROS.sub("&#", text))
+    return html.unescape(text)
+
+
+def _number(value: str | None, otherwise: int | None) -> int | None:
+    """A whole number of at most nine digits, or the other one."""
+    value = (value or "").strip()
+    return int(value) if NUMBER.fullmatch(value) else otherwise
+
+
+class Tags:
+    """The tags of a page, in time that grows with its length whatever is left open.
+
+    A tag that does not end is text. When one is met, the ends of all tags are worked out at once, from the page's end on: from a sign
+    that a tag comes to outside quotes, it goes on to its end or behind the quoted text to the next sign.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.signs, self.ends = page, None, None
+
+    def _end(self, at: int) -> int:
+        """Where the tag whose inner part begins here ends, or -1."""
+        if self.signs is None:
+            stop = INNER.match(self.page, at).end()
+            if stop < len(self.page) and self.page[stop] == ">":
+                return stop
+            self.signs = [m.start() for m in re.finditer("[>\"']", self.page)]
+            self.ends, later = [-1] * (len(self.signs) + 1), {}
+            for k in range(len(self.signs) - 1, -1, -1):
+                sign = self.page[self.signs[k]]
+                if sign == ">":
+                    self.ends[k] = self.signs[k]
+                else:
+                    self.ends[k] = self.ends[later[sign] + 1] if sign in later else -1
+                    later[sign] = k
+        return self.ends[bisect_left(self.signs, at)]
+
+    def next(self, at: int) -> tuple[int, int, re.Match | None, str]:
+        """Where the next tag, comment or declaration begins and ends, and of a tag its name and inner part; at the end of the page nothing."""
+        page = self.page
+        while m := OPENING.search(page, at):
+            begin = m.start()
+            if m[2] is None:
+                comment = page.startswith("<!--", begin)
+                end = page.find("-->", begin + 4) if comment else page.find(">", begin + 2)
+                if end >= 0:
+                    return begin, end + (3 if comment else 1), None, ""
+                if comment:
+                    return begin, len(page), None, ""
+                if page.find(">", begin) < 0:
+                    break
+            elif (end := self._end(m.end())) >= 0:
+                return begin, end + 1, m, page[m.end() : end]
+            at = begin + 1
+        return len(page), len(page), None, ""
+
+
 def _attributes(source: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for name, value in ATTRIBUTE.findall(source):
-        out.setdefault(name.lower(), html.unescape(value.strip("\"'")))
+        out.setdefault(name.lower(), _unescaped(value.strip("\"'")))
     return out
 
 
 def tree(page: str) -> Node:
     """The page's elements; children are nodes and strings."""
     root = Node("#root", {})
-    open_, at = [root], 0
+    open_, at, tags = [root], 0, Tags(page)
     count: Counter[str] = Counter()
 
     def shut(k: int) -> None:
@@ -90,14 +161,14 @@ def tree(page: str) -> Node:
         del open_[k:]
 
     while True:
-        m = TAG.search(page, at)
+        begin, end, m, inner = tags.next(at)
         # a "<" that starts no tag is text
-        if text := page[at : m.start() if m else len(page)]:
-            open_[-1].children.append(html.unescape(text))
-        if not m:
+        if text := page[at:begin]:
+            open_[-1].children.append(_unescaped(text))
+        if begin == len(page):
             return root
-        at = m.end()
-        if not m[2]:
+        at = end
+        if m is None:
             continue
         tag = m[2].lower()
         if m[1]:
@@ -120,15 +191,15 @@ def tree(page: str) -> Node:
                 ending = [e for e in ending if count[e] > 0]
             if not ending or all(own in CLOSED_BY[e][1] for e in ending):
                 break
-        node = Node(tag, _attributes(m[3]) if m[3].strip() else {})
+        node = Node(tag, _attributes(inner) if inner.strip() else {})
         open_[-1].children.append(node)
         drawn = count["svg"] > 0 or count["math"] > 0 or tag in ("svg", "math", "path")
-        if m[3].endswith("/") and tag not in BLOCK and drawn:
+        if inner.endswith("/") and tag not in BLOCK and drawn:
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             inner = page[at : end.start() if end else len(page)]
-            node.children.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
+            node.children.append(_unescaped(inner) if tag in ("textarea", "title") else inner)
             at = end.end() if end else len(page)
         elif tag not in VOID:
             open_.append(node)
@@ -161,14 +232,19 @@ class Sheet:
 
     def __init__(self) -> None:
         self.lines: list[str] = []
-        self.line, self.gap, self.blank, self.indent, self.lead = "", False, False, "", ""
+        #: the pieces of the line at hand
+        self.line: list[str] = []
+        self.gap, self.blank, self.indent, self.lead = False, False, "", ""
 
     def end_line(self) -> None:
         if self.line or self.lead:
-            self.lines.append((self.lead or self.indent) + self.line)
-            self.line, self.lead = "", ""
+            self._write()
         self.gap = False
 
+    def _write(self) -> None:
+        self.lines.append((self.lead or self.indent) + "".join(self.line))
+        self.line, self.lead = [], ""
+
     def put(self, text: str) -> None:
         """Text of which runs of white space count as one blank."""
         flat = SPACE.sub(" ", text)
@@ -177,7 +253,9 @@ class Sheet:
             self.gap |= bool(flat)
             return
         self._apart()
-        self.line += (" " if (self.gap or flat[0] == " ") and self.line else "") + words
+        if (self.gap or flat[0] == " ") and self.line:
+            self.line.append(" ")
+        self.line.append(words)
         self.gap = flat[-1] == " "
 
     def keep(self, text: str) -> None:
@@ -185,9 +263,9 @@ class Sheet:
         for k, part in enumerate(text.replace("\r\n", "\n").split("\n")):
             if k:
                 self._apart()
-                self.lines.append((self.lead or self.indent) + self.line)
-                self.line, self.lead = "", ""
-            self.line += part
+                self._write()
+            if part:
+                self.line.append(part)
 
     def _apart(self) -> None:
         if self.blank and not self.line:
@@ -202,49 +280,90 @@ class Sheet:
     def text(self) -> str:
         self.end_line()
         lines = [x.rstrip() for x in self.lines]
-        while lines and not lines[-1]:
-            lines.pop()
-        while lines and not lines[0]:
-            lines.pop(0)
-        return "\n".join(lines)
+        first, last = 0, len(lines)
+        while last and not lines[last - 1]:
+            last -= 1
+        while first < last and not lines[first]:
+            first += 1
+        return "\n".join(lines[first:last])
 
 
 def _span(node: Node, name: str, most: int) -> int:
-    value = node.attrs.get(name, "1").strip()
-    return max(1, min(int(value) if value.isascii() and value.isdigit() else 1, most))
+    return max(1, min(_number(node.attrs.get(name), 1), most))
+
+
+class Taken:
+    """The columns that cells of earlier rows reach down into, as runs of columns without a gap.
+
+    A run is kept whole until the first of its cells ends, so a row passes over it in one step.
+    """
+
+    def __init__(self) -> None:
+        #: of each run its first column, the one behind its last, the row at which the first of its cells ends, and its cells
+        self.runs: list[list] = []
+
+    def at_row(self, row: int) -> None:
+        if all(run[2] > row for run in self.runs):
+            return
+        cells = [cell for run in self.runs for cell in run[3] if cell[2] > row]
+        self.runs = []
+        for cell in cells:
+            self._append(cell)
+
+    def _append(self, cell: tuple[int, int, int]) -> None:
+        if self.runs and self.runs[-1][1] == cell[0]:
+            run = self.runs[-1]
+            run[1], run[2] = cell[1], min(run[2], cell[2])
+            run[3].append(cell)
+        else:
+            self.runs.append([*cell, [cell]])
+
+    def add(self, cells: list[tuple[int, int, int]]) -> None:
+        if cells and (not self.runs or cells[0][0] >= self.runs[-1][1]):
+            for cell in cells:
+                self._append(cell)
+        elif cells:
+            every = sorted([c for run in self.runs for c in run[3]] + cells)
+            self.runs = []
+            for cell in every:
+                self._append(cell)
 
 
 def grid(rows: list[list[tuple[str, int, int]]]) -> list[str]:
-    """Rows of cells (text, columns, rows) as lines, each cell padded to its column."""
+    """Rows of cells (text, columns, rows) as lines, each cell padded to its column.
+
+    Columns that no cell has to itself take no room; columns that begin beyond `WIDEST` are not aligned.
+    """
     width: dict[int, int] = {}
-    placed, below = [], {}
-    for row in rows:
-        at, cells, filled = 0, [], {}
+    placed, taken = [], Taken()
+    for number, row in enumerate(rows):
+        taken.at_row(number)
+        at, run, cells, down_from = 0, 0, [], []
         for text, columns, down in row:
-            while below.get(at, 0):
-                filled[at] = below[at] - 1
-                at += 1
+            while run < len(taken.runs) and taken.runs[run][0] <= at:
+                at = max(at, taken.runs[run][1])
+                run += 1
             lines = text.split("\n")
             cells.append((at, lines))
             if columns == 1:
                 width[at] = max(width.get(at, 0), *map(len, lines))
-            for c in range(at, at + columns):
-                if down > 1:
-                    filled[c] = down - 1
+            if down > 1:
+                # a cell that meets a run ends before it there, as the run's own cells are longer there
+                limit = taken.runs[run][0] if run < len(taken.runs) else at + columns
+                down_from.append((at, min(at + columns, limit), number + down))
             at += columns
-        below = {c: n - 1 for c, n in below.items() if c >= at and n > 1} | {c: n for c, n in filled.items() if n > 0}
+        taken.add(down_from)
         placed.append(cells)
-    begin, x = {}, 0
-    for c in range(max((c for cells in placed for c, _ in cells), default=-1) + 1):
-        begin[c] = x
-        x += width.get(c, 0) + 2 if c in width else 0
+    alone = sorted(width)
+    room = [0, *accumulate(width[c] + 2 for c in alone)]
     out = []
     for cells in placed:
         for k in range(max((len(lines) for _, lines in cells), default=0)):
             line = ""
             for c, lines in cells:
                 if k < len(lines) and lines[k]:
-                    line = line.ljust(begin[c]) + ("  " if len(line) > begin[c] else "") + lines[k]
+                    begin = min(room[bisect_left(alone, c)], WIDEST)
+                    line = line.ljust(begin) + ("  " if len(line) > begin else "") + lines[k]
             out.append(line)
     return out
 
@@ -256,7 +375,7 @@ def render(page: str | None) -> str:
     sheets, tables, lists = [Sheet()], [], []
     # (node, parent, False: enter, True: leave)
     walk: list[tuple] = [(tree(page), None, False)]
-    pre = 0
+    pre, indents = 0, []
     # of the open elements: whether their own text shows, and the drawing or formula they are in
     seen, inside = [True], [""]
     while walk:
@@ -306,18 +425,15 @@ def render(page: str | None) -> str:
             elif tag == "li":
                 sheet.block(False)
                 order = next((x for x in reversed(lists) if x), None) or {"tag": "ul", "next": 1, "before": ""}
-                value = node.attrs.get("value", "").strip()
-                if value.lstrip("-").isdigit():
-                    order["next"] = int(value)
+                order["next"] = _number(node.attrs.get("value"), order["next"])
                 bullet = f"{order['next']}. " if order["tag"] == "ol" else "- "
                 order["next"] += 1
                 sheet._apart()
-                sheet.lead, sheet.indent = order["before"] + bullet if shown else "", order["before"] + " " * len(bullet)
+                sheet.lead, sheet.indent = order["before"] + bullet if shown else "", order["before"] + " " * (len(bullet) if len(order["before"]) < DEEPEST else 0)
             elif tag in LISTS:
                 nested = parent is not None and parent.tag == "li"
                 sheet.block(not nested)
-                start = node.attrs.get("start", "").strip()
-                lists.append({"tag": tag, "next": int(start) if start.lstrip("-").isdigit() else 1, "before": sheet.indent, "lead": sheet.lead})
+                lists.append({"tag": tag, "next": _number(node.attrs.get("start"), 1), "before": sheet.indent, "lead": sheet.lead})
             elif tag == "hr":
                 sheet.block(True)
                 continue
@@ -326,7 +442,8 @@ def render(page: str | None) -> str:
                 if not (sheet.lead and not sheet.line):
                     sheet.block(tag in APART)
                 if tag in ("dd", "blockquote"):
-                    sheet.indent += "    "
+                    indents.append(sheet.indent)
+                    sheet.indent += "    " if len(sheet.indent) < DEEPEST else ""
                 if tag == "pre":
                     pre += 1
             elif tag == "q" and shown:
@@ -364,9 +481,9 @@ def render(page: str | None) -> str:
                 pre -= 1
             sheet.block(tag in APART)
             if tag in ("dd", "blockquote"):
-                sheet.indent = sheet.indent[:-4]
+                sheet.indent = indents.pop()
         elif tag == "q" and shown:
-            sheet.line += '"'
+            sheet.line.append('"')
         elif tag == "text" and within == "svg":
             sheet.block(False)
     return sheets[0].text()
