@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -295,38 +295,37 @@ def _span(node: Node, name: str, most: int) -> int:
 class Taken:
     """The columns that cells of earlier rows reach down into, as runs of columns without a gap.
 
-    A run is kept whole until the first of its cells ends, so a row passes over it in one step.
+    A run is kept whole until the first of all cells ends, so a row passes over it in one step.
     """
 
     def __init__(self) -> None:
-        #: of each run its first column, the one behind its last, the row at which the first of its cells ends, and its cells
+        #: of each run its first column, the one behind its last, and its cells: first column, the one behind, and the row at which it ends
         self.runs: list[list] = []
+        self.starts: list[int] = []
+        self.soonest = float("inf")
 
     def at_row(self, row: int) -> None:
-        if all(run[2] > row for run in self.runs):
-            return
-        cells = [cell for run in self.runs for cell in run[3] if cell[2] > row]
-        self.runs = []
-        for cell in cells:
-            self._append(cell)
-
-    def _append(self, cell: tuple[int, int, int]) -> None:
-        if self.runs and self.runs[-1][1] == cell[0]:
-            run = self.runs[-1]
-            run[1], run[2] = cell[1], min(run[2], cell[2])
-            run[3].append(cell)
-        else:
-            self.runs.append([*cell, [cell]])
-
-    def add(self, cells: list[tuple[int, int, int]]) -> None:
-        if cells and (not self.runs or cells[0][0] >= self.runs[-1][1]):
+        if row >= self.soonest:
+            cells = [cell for run in self.runs for cell in run[2] if cell[2] > row]
+            self.runs, self.starts, self.soonest = [], [], float("inf")
             for cell in cells:
-                self._append(cell)
-        elif cells:
-            every = sorted([c for run in self.runs for c in run[3]] + cells)
-            self.runs = []
-            for cell in every:
-                self._append(cell)
+                self.add(cell)
+
+    def add(self, cell: tuple[int, int, int]) -> None:
+        self.soonest = min(self.soonest, cell[2])
+        k = bisect_right(self.starts, cell[0]) - 1
+        if k >= 0 and self.runs[k][1] >= cell[0]:
+            self.runs[k][1] = max(self.runs[k][1], cell[1])
+            self.runs[k][2].append(cell)
+        else:
+            k += 1
+            self.starts.insert(k, cell[0])
+            self.runs.insert(k, [cell[0], cell[1], [cell]])
+        while k + 1 < len(self.runs) and self.starts[k + 1] <= self.runs[k][1]:
+            _, end, cells = self.runs.pop(k + 1)
+            self.starts.pop(k + 1)
+            self.runs[k][1] = max(self.runs[k][1], end)
+            self.runs[k][2] += cells
 
 
 def grid(rows: list[list[tuple[str, int, int]]]) -> list[str]:
@@ -348,11 +347,10 @@ def grid(rows: list[list[tuple[str, int, int]]]) -> list[str]:
             if columns == 1:
                 width[at] = max(width.get(at, 0), *map(len, lines))
             if down > 1:
-                # a cell that meets a run ends before it there, as the run's own cells are longer there
-                limit = taken.runs[run][0] if run < len(taken.runs) else at + columns
-                down_from.append((at, min(at + columns, limit), number + down))
+                down_from.append((at, at + columns, number + down))
             at += columns
-        taken.add(down_from)
+        for cell in down_from:
+            taken.add(cell)
         placed.append(cells)
     alone = sorted(width)
     room = [0, *accumulate(width[c] + 2 for c in alone)]

@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from jobtide.llm import fuzzyhash, negatives, runs
+from jobtide.llm import fuzzyhash, htmltext, linededup, negatives, runs
 
 WORDS = [a + b for a in ("ba", "Ko", "ré", "tu", "😀") for b in ("n", "lo", "ssi,", "x.")]
 CLASH = ["fingerprint", "Text_", "part", "first", "runs", "h", "n", "g", "label_", "own", "v", "score", "rank"]
@@ -258,3 +259,173 @@ def test_shells_that_miss_the_annulus_are_not_visited(monkeypatch):
     for q in range(80):
         assert block.id[q].tolist() == np.lexsort((np.arange(8000), -score[q]))[:5].tolist()
     assert sum(seen) < 0.5 * 80 * 8000
+
+
+# --- line dedup by deletion neighbourhoods ------------------------------------------------------
+
+def word_edits(words, edits, r):
+    words = list(words)
+    for _ in range(edits):
+        at, how = r.randrange(len(words)), r.choice("rid")
+        words[at : at + (how != "i")] = [] if how == "d" else [f"new{r.randrange(10**6)}"]
+    return words
+
+
+def plain_gone(lines):
+    """Numbers of the lines that are equal to, or within the bound of, an earlier one."""
+    return {i for i, a in enumerate(lines) if any(abs(len(a) - len(b)) * 5 <= max(len(a), len(b)) and edits(a, b) <= max(len(a), len(b)) // 5 for b in lines[:i])}
+
+
+def test_lines_found_by_deletion_neighbourhoods(spark):
+    """All one-word edits of short lines, and at least 98 in 100 of the lines within one word in five."""
+    r = random.Random(9)
+    base = [[f"w{r.randrange(4000)}" for _ in range(r.choice([1, 3, 4, 5, 6, 8, 9, 10, 11, 14, 20, 36, 50]))] for _ in range(150)]
+    every = base + [word_edits(w, r.randint(0, len(w) // 4 + 1), r) for w in base for _ in range(3)]
+    every = [w for w in every if w]
+    r.shuffle(every)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(every)], "doc_id long, text string").repartition(5)
+    got, want = {x.doc_id for x in linededup.neighbours(linededup.ready(spark) and docs).collect()}, plain_gone(every)
+    assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 150
+    assert {i for i in want if len(every[i]) <= linededup.SHORT} == {i for i in got if len(every[i]) <= linededup.SHORT}
+
+
+def test_recall_on_whole_documents(spark):
+    docs = linededup.ready(spark) and spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted((x.doc_id, j, line.split()) for x in docs.collect() for j, line in enumerate((x.text or "").encode().split(b"\n")) if line.split())
+    lines = [x[2] for x in rows]
+    want = {rows[i][:2] for i, a in enumerate(lines) if any(abs(len(a) - len(b)) * 5 <= max(len(a), len(b)) and linededup.within_one(a, b) for b in lines[:i])}
+    got = {(x.doc_id, x.line) for x in linededup.neighbours(docs).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_neighbourhoods_of_odd_rows(spark, docs, texts, monkeypatch):
+    exact = linededup.deduplicate(docs, least=1)
+    want = sorted(((x.doc_id, x.text) for x in exact.collect()), key=str)
+    for bits in (linededup.MAP_BITS, 1):
+        # with maps of no size all goes through the joins
+        monkeypatch.setattr(linededup, "MAP_BITS", bits)
+        out = linededup.deduplicate(docs, least=1, exact=False)
+        assert out.columns == docs.columns and sorted(((x.doc_id, x.text) for x in out.collect()), key=str) == want
+        assert linededup.deduplicate(docs.limit(0), least=1, exact=False).count() == 0
+    report = linededup.deduplicate(docs.select("doc_id", "text"), report=True, least=1, exact=False)
+    assert report.columns == ["doc_id", "n_lines", "n_dropped", "text"] and report.count() == len(texts)
+
+
+def test_a_map_holds_what_it_was_given(spark):
+    hashes = [0, 1, -1, 2**62, -(2**63), 32768, 32767, 12345678901]
+    bits = linededup._map(spark.createDataFrame([(h,) for h in hashes], "h long"), len(hashes))
+    slots = np.array(hashes) & bits.size - 1
+    other = np.setdiff1d(np.arange(bits.size), slots)
+    assert bits.there(slots).all() and not bits.there(other).any()
+
+
+# --- pages of any form --------------------------------------------------------------------------
+
+MILLION = 1_000_000
+
+
+def repeated(text):
+    return (text * (MILLION // len(text) + 1))[:MILLION]
+
+
+@pytest.mark.parametrize("name, page", [
+    ("open tags", repeated('<a "x" ')), ("both quotes", repeated("<a '\" ")), ("crossed quotes", repeated('<a "<b \'') + ">"), ("declarations", repeated("<!x ")), ("comments", repeated("<!-- x ")),
+    ("wide spans", "<table>" + ("<tr>" + "<td colspan=1000 rowspan=65534>x</td>" * 20 + "</tr>") * 200 + "</table>"), ("spans", "<table>" + repeated("<tr><td rowspan=65534>x")),
+    ("many spans", "<table>" + repeated("<tr><td rowspan=2>x<td>y<td colspan=3 rowspan=3>z")), ("lists", repeated("<ul><li>x")), ("quotations", repeated("<blockquote>x")), ("inline", repeated("<q>")),
+    ("reference", "&#" + "1" * MILLION + ";"), ("attributes", "<a " + repeated("x=' ") + ">t"),
+])
+def test_long_pages_take_no_more_than_their_length(name, page):
+    began = time.process_time()
+    htmltext.render(page)
+    assert time.process_time() - began < 12, name
+
+
+def test_numbers_of_any_form():
+    page = '<ol start="--5"><li>a</ol><ol start="²"><li value="--5">b<li value="' + "9" * 5000 + '">c<li value="-3">d</ol><table><tr><td colspan="²" rowspan="' + "1" * 5000 + '">x<td>y</table>&#0065;&#' + "9" * 5000 + ";&#x41;"
+    assert htmltext.render(page) == "1. a\n\n1. b\n2. c\n-3. d\n\nx  y\n\nA�A"
+
+
+def test_spans_are_those_of_cells_marked_one_by_one():
+    r = random.Random(4)
+    for _ in range(300):
+        rows = [[(r.choice(["", "a", "bb", "c\ndd"]), r.choice([1, 1, 2, 3]), r.choice([1, 1, 2, 4])) for _ in range(r.randrange(4))] for _ in range(r.randrange(1, 7))]
+        taken, placed, width = set(), [], {}
+        for number, row in enumerate(rows):
+            at, cells = 0, []
+            for text, columns, down in row:
+                while (number, at) in taken:
+                    at += 1
+                cells.append((at, text.split("\n")))
+                if columns == 1:
+                    width[at] = max(width.get(at, 0), *map(len, text.split("\n")))
+                taken |= {(number + d, at + c) for d in range(1, down) for c in range(columns)}
+                at += columns
+            placed.append(cells)
+        begin = lambda c: sum(w + 2 for x, w in width.items() if x < c)  # noqa: B023, E731
+        want = []
+        for cells in placed:
+            for k in range(max((len(t) for _, t in cells), default=0)):
+                line = ""
+                for c, t in cells:
+                    if k < len(t) and t[k]:
+                        line = line.ljust(begin(c)) + ("  " if len(line) > begin(c) else "") + t[k]
+                want.append(line)
+        assert htmltext.grid(rows) == want, rows
+
+
+def plain_render(node, depth=0):
+    """Blocks, lists and inline text of a small tree, by recursion: a list of lines."""
+    kind, children = node
+    lines, line = [], []
+
+    def flush():
+        if line:
+            lines.append(" ".join(line))
+            line.clear()
+
+    number = 0
+    for child in children:
+        if isinstance(child, str):
+            line.append(child)
+        elif child[0] == "b":
+            line.extend(w for x in plain_render(child) for w in [x])
+        elif child[0] == "gone":
+            continue
+        elif child[0] == "li":
+            flush()
+            number += 1
+            bullet = f"{number}. " if kind == "ol" else "- "
+            inner = plain_render(child)
+            lines += [(bullet if k == 0 else " " * len(bullet)) + x for k, x in enumerate(inner)] or [bullet.rstrip()]
+        else:
+            flush()
+            lines += plain_render(child)
+    flush()
+    return lines
+
+
+def written(node, r):
+    kind, children = node
+    inner = "".join(f"{c} " if isinstance(c, str) else written(c, r) for c in children)
+    tag = {"gone": "div hidden"}.get(kind, kind)
+    close = "" if kind == "li" and r.random() < 0.5 else f"</{tag.split()[0]}>"
+    return f"<{tag}>{inner}{close}" + (" " if kind == "b" else "")
+
+
+def test_small_trees_are_rendered_as_by_recursion():
+    r = random.Random(8)
+
+    def grown(kind, depth):
+        if kind in ("ul", "ol"):
+            return kind, [grown("li", depth + 1) for _ in range(r.randint(1, 3))]
+        if kind == "b":
+            return kind, [r.choice(["x", "yy"])]
+        words = [r.choice(["one", "two", "three"]) for _ in range(r.randint(1, 2))]
+        kinds = ["b", "b", "gone"] if kind == "li" else ["b", "gone", *(["div", "div", "ul", "ol"] if depth < 3 else [])]
+        return kind, words[:1] + [grown(r.choice(kinds), depth + 1) for _ in range(r.randint(0, 3))] + words[1:]
+
+    for _ in range(300):
+        node = grown("div", 0)
+        # lists stand apart from what is around them by a blank line
+        got = [x for x in htmltext.render(written(node, r)).split("\n") if x]
+        assert got == [x for x in plain_render(node) if x], written(node, r)
