@@ -327,7 +327,7 @@ def _best(queries: DataFrame, subtrees: DataFrame, count: int, same: bool, k: in
         yield from out()
 
     found = met.mapInArrow(run, FOUND)
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, k)
+    top = F.slice(F.array_sort(F.collect_list(F.struct(F.bitwise_not("score").alias("s"), "vec_id", "score"))), 1, k)
     names = ["own", "positive"]
     # a group of subtrees gives at most k rows a query; two steps keep what one group of rows holds small
     first = found.groupBy(*names, F.pmod(F.xxhash64("vec_id"), F.lit(16)).alias("part")).agg(top.alias("best")).select(*names, F.inline("best"))

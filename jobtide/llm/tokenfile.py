@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobtide.llm import bpe
@@ -30,7 +29,7 @@ from jobtide.llm.common import ready
 
 BLOCK_IDS = 2_000_000
 KEPT_PIECES = 500_000
-BLOCK = "shard int, block int, doc_ids array<long>, lengths array<long>, ranking binary, control binary, data binary"
+BLOCK = "shard int, block int, before long, doc_ids array<long>, lengths array<long>, ranking binary, control binary, data binary"
 #: Row c: the lengths of the four values whose control byte is c.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 _libraries: dict[int, "Library"] = {}
@@ -139,15 +138,15 @@ def encode(docs: DataFrame, tokenizer: str, end: int = 0) -> DataFrame:
     closing = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, shard, block = _library(raw.value), TaskContext.get().partitionId(), 0
+        library, shard, block, before = _library(raw.value), TaskContext.get().partitionId(), 0, 0
         names, parts, held = [], [], 0
 
         def cut() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(parts), "<u4")
             ranking, ranks = ranked(ids)
             control, data = pack(ranks)
-            row = [shard, block, names, [len(p) // 4 for p in parts], ranking.tobytes(), control, data]
-            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+            row = [shard, block, before, names, [len(p) // 4 for p in parts], ranking.tobytes(), control, data]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [c.split()[0] for c in BLOCK.split(", ")])
 
         for batch in batches:
@@ -157,7 +156,7 @@ def encode(docs: DataFrame, tokenizer: str, end: int = 0) -> DataFrame:
                 held += len(parts[-1]) // 4
                 if held >= BLOCK_IDS:
                     yield cut()
-                    block += 1
+                    block, before = block + 1, before + held
                     names, parts, held = [], [], 0
         if names:
             yield cut()
@@ -172,19 +171,24 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 0) -> None:
 
 
 def _with_starts(blocks: DataFrame) -> DataFrame:
-    """Each block with the number of ids before it.
+    """Each block with the number of ids before it: those of its own shard, which it keeps, and of the shards before.
 
-    Only totals of shards come to the driver, one number for each partition that was written.
+    Only totals of shards come to the driver, one number for each partition that was written, and go back with the blocks' reader.
     """
-    size = blocks.select("shard", "block", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids"))
-    spark, before, starts = blocks.sparkSession, 0, []
+    size = blocks.select("shard", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids"))
+    spark, before, starts = blocks.sparkSession, 0, {}
     for shard, ids in sorted(map(tuple, size.groupBy("shard").agg(F.sum("ids")).collect())):
-        starts.append((shard, before))
+        starts[shard] = before
         before += ids
-    shards = spark.createDataFrame(starts, "shard int, shard_start long")
-    earlier = W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    within = size.withColumn("inner_start", F.coalesce(F.sum("ids").over(earlier), F.lit(0))).join(shards, "shard")
-    return blocks.join(within.select("shard", "block", (F.col("shard_start") + F.col("inner_start")).alias("start")), ["shard", "block"])
+    sent = spark.sparkContext.broadcast(starts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [sent.value[shard] for shard in batch.column(0).to_pylist()]
+            start = np.array(own, np.int64) + batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(start)], [*batch.schema.names, "start"])
+
+    return blocks.mapInArrow(run, f"{BLOCK}, start long")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

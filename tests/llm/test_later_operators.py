@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from jobtide.llm import fuzzyhash, htmltext, linededup, negatives, runs
+from jobtide.llm import fuzzyhash, htmltext, linededup, maxent, negatives, runs, topk
 
 WORDS = [a + b for a in ("ba", "Ko", "ré", "tu", "😀") for b in ("n", "lo", "ssi,", "x.")]
 CLASH = ["fingerprint", "Text_", "part", "first", "runs", "h", "n", "g", "label_", "own", "v", "score", "rank"]
@@ -429,3 +429,66 @@ def test_small_trees_are_rendered_as_by_recursion():
         # lists stand apart from what is around them by a blank line
         got = [x for x in htmltext.render(written(node, r)).split("\n") if x]
         assert got == [x for x in plain_render(node) if x], written(node, r)
+
+
+# --- language model -----------------------------------------------------------------------------
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_documents_held_out_are_likelier_than_by_their_words_alone(spark, sf):
+    rows = maxent.score(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
+    both = rows.where("held_out").agg(F.sum("base_score").alias("base"), F.sum("score").alias("model"), F.avg((F.col("score") > F.col("base_score")).cast("int")).alias("better")).first()
+    assert both.model > both.base + 0.01 * abs(both.base) and both.better > 0.9
+
+
+def test_model_scores_are_those_of_a_plain_version(spark):
+    """The score of each text from the fitted weights, token by token with whole tables."""
+    texts = {k: t for k, t in enumerate(["a b c. a b c.", "b c a, Ünd b a", "", None, "new words a b", "a a a b b c. x1 x2", "c. b a é", *["a b c. d, e f!"] * 12])}
+    docs = maxent.ready(spark).createDataFrame(list(texts.items()), "doc_id long, text string")
+    table, known = maxent.coded(maxent.stored(spark, maxent.blocks(docs), "word-blocks"))
+    weights, bias = maxent.train(table, known)
+    lower = lambda t: "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in t or "")
+    words = {k: [*lower(t).split(), ""] for k, t in texts.items()}
+    counts = {}
+    for k, w in words.items():
+        if zlib.crc32(str(k).encode()) % 7 != 2:
+            for x in w:
+                counts[x] = counts.get(x, 0) + 1
+    total = sum(counts.values())
+    top = sorted(counts, key=lambda x: (-counts[x], x))[: maxent.OWN]
+
+    def kind(x):
+        if x in top:
+            return top.index(x)
+        last = 0 if x[-1:] in ".!?" and x else 1 if x[-1:] in ",;:" and x else 2 if x and x[-1] < "\x7f" and x[-1] > " " and not x[-1].isalnum() else 3
+        return maxent.OWN + (last * 2 + any(c > "\x7f" for c in x)) * maxent.STRATA + (counts.get(x, 0) * 1_000_000 >= total)
+
+    share = {}
+    for x, c in counts.items():
+        share[kind(x)] = share.get(kind(x), 0) + c + 1
+    for k in range(maxent.OWN, maxent.CLASSES, maxent.STRATA):
+        share[k] = share.get(k, 0) + 1
+
+    def bucket(x):
+        import xxhash
+
+        return np.uint64(xxhash.xxh64_intdigest(x.encode(), 42)).astype(np.int64).item() % (maxent.BUCKETS - 1) + 1
+
+    for row in maxent.score(docs).collect():
+        score = 0.0
+        for i, x in enumerate(words[row.doc_id]):
+            before = [bucket(words[row.doc_id][i - b]) if i >= b else 0 for b in (1, 2, 3)]
+            rows = [before[0], maxent.BUCKETS + before[1], 2 * maxent.BUCKETS + before[2], 3 * maxent.BUCKETS + (before[0] * 40503 + before[1] * 9973) % maxent.PAIRS]
+            scores = bias.astype(float) + sum(weights[:, r].astype(float) for r in rows)
+            own = kind(x)
+            score += (scores[own] - np.log(np.exp(scores - scores.max()).sum()) - scores.max()) / np.log(10) + np.log10((counts.get(x, 0) + 1) / share[own])
+        assert abs(score - row.score) < 1e-3 * max(1, abs(score)), row
+
+
+# --- top k --------------------------------------------------------------------------------------
+
+def test_top_k_of_large_components_and_repeated_ids(spark):
+    rows = [(0, [1e30, 1.0]), (0, [0.5, 2.0]), (50, [2.0, 2.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [0.25, 0.25])]
+    got = [tuple(r) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
+    big = 2**63 - 1
+    # the query of the repeated id is its least vector
+    assert got == [(0, 1, 1, big), (0, 2, 50, 327680), (0, 3, 3, 40960), (0, 4, 2, -big - 1), (50, 1, 0, big), (50, 2, 1, big), (50, 3, 0, 327680), (50, 4, 3, 65536), (50, 5, 2, -big - 1)]
