@@ -42,7 +42,14 @@ NAMES = {
 }
 _TITLES = "|".join(sorted(MALE + FEMALE + EITHER, key=len, reverse=True))
 _TITLE = rf"(?:{_TITLES})\.?\s"
-_NAME = r"\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}"
+#: What stands behind a word that may be a title, and is no name.
+NOT_NAMES = (
+    "Administrator Analyst Architect Associate Consultant Data Designer Developer Director Engineer Executive Lead Manager Officer Product Project Sales Scientist "
+    "Software Specialist Technician America Earth International Quijote Quixote Universe World"
+).split()
+_NAME = rf"(?!(?:{'|'.join(NOT_NAMES)})(?!\p{{L}}))\p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}"
+#: What announces a telephone number, which may then be written in any way.
+_CALL = r"(?i:tel|telephone|telefon|telefono|teléfono|tél|phone|mobile|mobil|cell|fax)(?: ?(?:no|nr))?\.?[:=]?[ \t]{0,3}"
 _LABEL = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 #: Kinds in the order in which they are tried. All start where no letter or digit stands before.
 KINDS = {
@@ -53,7 +60,10 @@ KINDS = {
     "ip": r"(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
     "ssn": r"(?<!\d-)\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d[.-])[2-6](?:[ -]?\d){12,18}(?![\d-])",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\d-])|\+\d{8,15}(?!\d)",
+    "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\d-])"
+    # with a country code, in any groups
+    r"|\+(?=(?:[ ().-]{0,2}\d){8,15}(?!\d))\d++(?:[ .-]?+(?:\(\d{1,4}\)|\d++)){0,8}+"
+    rf"|{_CALL}(?=[(]?(?:[ ()./-]{{0,2}}\d){{7,15}}(?!\d))(?:\(\d{{1,5}}\)|\d++)(?:[ ./-]?+\d++){{0,6}}+",
     "name": _TITLE + _NAME,
 }
 PATTERN = r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}+(._%-])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
@@ -75,7 +85,7 @@ def _found(text: Column) -> Column:
 
     def one(m: Column) -> Column:
         kind = F.coalesce(*[F.when(m.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in KINDS.items()])
-        before = F.when(kind == "name", F.regexp_extract(m, f"^({_TITLE}){_NAME}$", 1)).when(kind == "secret", F.regexp_extract(m, f"^({_LABEL})", 1)).otherwise("")
+        before = F.when(kind == "name", F.regexp_extract(m, f"^({_TITLE}){_NAME}$", 1)).when(kind == "secret", F.regexp_extract(m, f"^({_LABEL})", 1)).when(kind == "phone", F.regexp_extract(m, f"^({_CALL})", 1)).otherwise("")
         return F.struct(kind.alias("kind"), before.alias("before"), F.substring(m, F.length(before) + 1, F.length(m)).alias("value"))
 
     return F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), one)
