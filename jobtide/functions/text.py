@@ -88,12 +88,6 @@ def mean_confidence(matches: Column) -> Column:
     return F.when(F.size(matches) > 0, F.bround(total / F.size(matches), 2)).otherwise(F.lit(0.0))
 
 
-def match_terms_text(matches: Column) -> Column:
-    return F.concat_ws(
-        "|", F.transform(matches, lambda m: F.concat(m["skill"], F.lit(":"), F.concat_ws(",", m["terms"])))
-    )
-
-
 def list_text(values: Column, separator: str = "|") -> Column:
     """Array to the delimited text used at the sinks."""
     return F.concat_ws(separator, values)

@@ -226,9 +226,10 @@ def missing_evidence(evidence: DataFrame, examples: DataFrame) -> DataFrame:
 
 
 def require_evidence(evidence: DataFrame, examples: DataFrame) -> DataFrame:
-    missing = missing_evidence(evidence, examples).orderBy("skill", "workplace_example").take(20)
-    if missing:
-        raise ValueError(f"no evidence for {[tuple(r) for r in missing]}")
+    missing = missing_evidence(evidence, examples)
+    first = missing.orderBy("skill", "workplace_example").take(20)
+    if first:
+        raise ValueError(f"no evidence for {missing.count()} examples, first of all {[tuple(r) for r in first]}")
     return evidence
 
 

@@ -236,19 +236,17 @@ TOPIC_ALIASES = {
 }
 
 # Keyword sets that make a learning module relevant.
-MODULE_SUBJECTS = """
-data-analysis data-engineering data-science machine-learning artificial-intelligence databases analytics
-visualization software-development web-development app-development cloud-computing devops cybersecurity security
-networking system-administration infrastructure
-""".split()
-MODULE_ROLES = """
-data-analyst data-engineer data-scientist ai-engineer developer software-engineer cloud-engineer devops-engineer
-security-engineer security-operations-analyst network-engineer database-administrator administrator
-solution-architect technology-consultant
-""".split()
-MODULE_PRODUCTS = """
-azure-machine-learning azure-sql-database azure-databricks azure-synapse-analytics power-bi fabric microsoft-fabric
-""".split()
+MODULE_SUBJECTS = [
+    "data-analysis", "data-engineering", "data-science", "machine-learning", "artificial-intelligence", "databases", "analytics", "visualization", "software-development",
+    "web-development", "app-development", "cloud-computing", "devops", "cybersecurity", "security", "networking", "system-administration", "infrastructure",
+]
+MODULE_ROLES = [
+    "data-analyst", "data-engineer", "data-scientist", "ai-engineer", "developer", "software-engineer", "cloud-engineer", "devops-engineer", "security-engineer",
+    "security-operations-analyst", "network-engineer", "database-administrator", "administrator", "solution-architect", "technology-consultant",
+]
+MODULE_PRODUCTS = [
+    "azure-machine-learning", "azure-sql-database", "azure-databricks", "azure-synapse-analytics", "power-bi", "fabric", "microsoft-fabric",
+]
 MODULE_TEXT_KEYWORDS = [
     "analytics", "data analysis", "data analytics", "data engineering", "data science", "database", "machine learning",
     "python", "sql", "power bi", "fabric", "azure synapse", "spark", "software development", "software engineering",

@@ -81,16 +81,14 @@ COURSE_MODES = {
 }
 
 # Hosts whose postings and courses count as trusted.
-TRUSTED_JOB_DOMAINS = """
-adzuna.com arbeitnow.com example.com news.ycombinator.com remotive.com www.adzuna.com www.arbeitnow.com
-www.remotive.com
-""".split()
-TRUSTED_COURSE_DOMAINS = """
-cloud.google.com docs.docker.com docs.github.com docs.python.org docs.pytorch.org fastapi.tiangolo.com
-kafka.apache.org numpy.org pandas.pydata.org postgresql.org scikit-learn.org skillbuilder.aws spark.apache.org
-www.postgresql.org tensorflow.org www.tensorflow.org airflow.apache.org databricks.com deeplearning.ai
-docs.getdbt.com docs.snowflake.com edx.org example.com freecodecamp.org github.com kaggle.com learn.microsoft.com
-ocw.mit.edu youtube.com www.youtube.com developer.mozilla.org developer.hashicorp.com dotnet.microsoft.com
-huggingface.co kubernetes.io learn.mongodb.com mlflow.org netacad.com nextjs.org nodejs.org opencv.org oracle.com
-owasp.org playwright.dev react.dev redhat.com servicenow.com spring.io typescriptlang.org
-""".split()
+TRUSTED_JOB_DOMAINS = [
+    "adzuna.com", "arbeitnow.com", "example.com", "news.ycombinator.com", "remotive.com", "www.adzuna.com", "www.arbeitnow.com", "www.remotive.com",
+]
+TRUSTED_COURSE_DOMAINS = [
+    "cloud.google.com", "docs.docker.com", "docs.github.com", "docs.python.org", "docs.pytorch.org", "fastapi.tiangolo.com", "kafka.apache.org", "numpy.org",
+    "pandas.pydata.org", "postgresql.org", "scikit-learn.org", "skillbuilder.aws", "spark.apache.org", "www.postgresql.org", "tensorflow.org", "www.tensorflow.org",
+    "airflow.apache.org", "databricks.com", "deeplearning.ai", "docs.getdbt.com", "docs.snowflake.com", "edx.org", "example.com", "freecodecamp.org", "github.com",
+    "kaggle.com", "learn.microsoft.com", "ocw.mit.edu", "youtube.com", "www.youtube.com", "developer.mozilla.org", "developer.hashicorp.com", "dotnet.microsoft.com",
+    "huggingface.co", "kubernetes.io", "learn.mongodb.com", "mlflow.org", "netacad.com", "nextjs.org", "nodejs.org", "opencv.org", "oracle.com", "owasp.org",
+    "playwright.dev", "react.dev", "redhat.com", "servicenow.com", "spring.io", "typescriptlang.org",
+]
