@@ -490,3 +490,11 @@ def test_top_k_of_large_components_and_repeated_ids(spark):
     big = 2**63 - 1
     # the query of the repeated id is its least vector
     assert got == [(0, 1, 1, big), (0, 2, 50, 327680), (0, 3, 3, 40960), (0, 4, 2, -big - 1), (50, 1, 0, big), (50, 2, 1, big), (50, 3, 0, 327680), (50, 4, 3, 65536), (50, 5, 2, -big - 1)]
+
+
+@pytest.mark.parametrize("texts_", [["a b"], ["one two three four five"], ["w " * 40], ["", " \n "], [None], ["a\nb c d e f\n" + "x y z " * 9]])
+def test_lines_of_one_kind_only(spark, texts_):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts_ * 2)], "doc_id long, text string").coalesce(1)
+    gone = [tuple(r) for r in linededup.neighbours(linededup.ready(spark) and docs).select("doc_id", "line").collect()]
+    lines = [(j, x) for j, x in enumerate((texts_[0] or "").split("\n")) if x.split()]
+    assert sorted(gone) == [(len(texts_), j) for j, _ in lines] or len(texts_) > 1 and not gone
