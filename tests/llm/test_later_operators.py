@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from jobtide.llm import fuzzyhash, htmltext, linededup, maxent, negatives, runs, topk
+from jobtide.llm import fuzzyhash, htmltext, linededup, maxent, negatives, queries, runs, topk
 
 WORDS = [a + b for a in ("ba", "Ko", "ré", "tu", "😀") for b in ("n", "lo", "ssi,", "x.")]
 CLASH = ["fingerprint", "Text_", "part", "first", "runs", "h", "n", "g", "label_", "own", "v", "score", "rank"]
@@ -289,6 +289,27 @@ def test_lines_found_by_deletion_neighbourhoods(spark):
     assert {i for i in want if len(every[i]) <= linededup.SHORT} == {i for i in got if len(every[i]) <= linededup.SHORT}
 
 
+def long_lines():
+    r = random.Random(4)
+    base = [[f"w{r.randrange(4000)}" for _ in range(r.choice([20, 25, 30, 40]))] for _ in range(120)]
+    every = base + [word_edits(w, len(w) // 5, r) for w in base for _ in range(2)]
+    r.shuffle(every)
+    return every
+
+
+def test_the_query_and_the_pipeline_drop_all_long_lines_within_the_bound(spark, tmp_path):
+    """Lines with as many edits as may be, of which some share none of their least keys with the earlier line."""
+    import corpus_pipeline
+
+    every = long_lines()
+    want = plain_gone(every)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(every)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id for x in queries.QUERIES["op7_line_dedup"](spark, str(tmp_path)).where("n_dropped > 0").select("doc_id").collect()}
+    staged = {x.doc_id for x in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).where("text = ''").select("doc_id").collect()}
+    assert got == want and staged == want and len(want) > 150
+
+
 def test_recall_on_whole_documents(spark):
     docs = linededup.ready(spark) and spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = sorted((x.doc_id, j, line.split()) for x in docs.collect() for j, line in enumerate((x.text or "").encode().split(b"\n")) if line.split())
