@@ -36,7 +36,9 @@ SELECT skill, category, term, count(*) AS records FROM (SELECT skill, category,
 def skill_terms(spark, sf):
     text = tx.skill_text(*[F.col(f"payload.{c}") for c in enrich.JOB_TEXT])
     found = enrich.extract_skills(b.raw_jobs(spark, sf), text, b.text_taxonomy())
-    per_match = found.select(F.explode("matches").alias("m")).select("m.skill", "m.category", F.explode("m.terms").alias("term"))
+    # the outer forms: for the others the optimizer infers a filter on the list, with a copy of the matching
+    each = found.select(F.explode_outer("matches").alias("m")).select("m.skill", "m.category", F.explode_outer("m.terms").alias("term"))
+    per_match = each.where(F.col("term").isNotNull())
     return per_match.groupBy("skill", "category", "term").agg(F.count(F.lit(1)).alias("records"))
 
 
