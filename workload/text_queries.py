@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from jobtide import storage
 from jobtide.functions import roles as rl
 from jobtide.functions import scalars as sc
 from jobtide.functions import text as tx
@@ -76,7 +77,10 @@ SELECT coalesce(d.skill, s.skill) AS skill, coalesce(job_demand, 0) AS job_deman
   CAST(round_even(coalesce(course_supply, 0)::DOUBLE / (SELECT max(course_supply) FROM s) * 100.0, 0) AS INTEGER) AS course_supply_score
 FROM d FULL JOIN s ON d.skill = s.skill""")
 def text_skill_gaps(spark, sf):
-    out = gaps.skill_gap_summary(b.text_jobs(spark, sf), b.text_courses(spark, sf), b.text_taxonomy())
+    # written first, as a run of the pipeline does, since the medians read them twice
+    jobs = storage.copied(spark, b.text_jobs(spark, sf).select("skills", "salary_min", "salary_max"), "text-jobs")
+    courses = storage.copied(spark, b.text_courses(spark, sf).select("skills"), "text-courses")
+    out = gaps.skill_gap_summary(jobs, courses, b.text_taxonomy())
     return out.select("skill", "job_demand", "course_supply", "gap_score", "demand_score", "course_supply_score")
 
 
