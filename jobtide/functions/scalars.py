@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RUN_FORMAT = "yyyyMMdd_HHmmss"
@@ -14,6 +14,14 @@ def number(col: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def numeric(df: DataFrame, name: str) -> Column:
+    """:func:`number` of a column of a table; one that holds whole numbers or doubles is not turned into text and back."""
+    if dict(df.dtypes)[name] not in ("double", "bigint", "int", "smallint", "tinyint"):
+        return number(F.col(name))
+    value = F.col(name).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def safe_int(col: Column) -> Column:
     """Integer part of a number, truncated toward zero; null when it is none."""
     return number(col).try_cast("bigint")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions import scoring
-from jobtide.functions.scalars import number
+from jobtide.functions.scalars import numeric
 from jobtide.functions.text import text_list
 from jobtide.operators.enrich import skill_attributes
 from jobtide.operators.medians import exact_median
@@ -30,16 +30,18 @@ def skill_list(df: DataFrame, column: str = "skills"):
 def explode_skills(df: DataFrame, *keep, column: str = "skills") -> DataFrame:
     """One row per record and skill, blank skills dropped.
 
-    The outer form: from the other the optimizer infers a filter on the list, with a copy of whatever computes it.
+    The outer form: from the other the optimizer infers a filter on the list, with a copy of whatever computes it. The
+    columns to keep are computed once a record, before its skills are told apart.
     """
-    return df.select(*keep, F.explode_outer(skill_list(df, column)).alias("skill")).where(F.trim("skill") != "")
+    listed = df.select(*keep, skill_list(df, column).alias("_skills"))
+    return listed.select(*listed.columns[:-1], F.explode_outer("_skills").alias("skill")).where(F.trim("skill") != "")
 
 
 def midpoint(df: DataFrame):
     """Middle of the salary range; null unless both ends are numbers."""
     if not {"salary_min", "salary_max"} <= set(df.columns):
         return F.lit(None).cast("double")
-    return (number(F.col("salary_min")) + number(F.col("salary_max"))) / 2
+    return (numeric(df, "salary_min") + numeric(df, "salary_max")) / 2
 
 
 def skill_counts(df: DataFrame, out: str = "records") -> DataFrame:
@@ -65,7 +67,8 @@ def skill_totals(jobs: DataFrame, courses: DataFrame | None = None) -> DataFrame
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
     named = F.filter(skill_list(jobs), lambda s: F.trim(s) != "")
     keys = F.concat(F.coalesce(named, F.array().cast("array<string>")), F.array(F.lit(_EVERY_JOB)))
-    rows = jobs.select(F.explode_outer(keys).alias("skill"), midpoint(jobs).alias("value"), one.alias("job_demand"), zero.alias("course_supply"))
+    listed = jobs.select(keys.alias("_keys"), midpoint(jobs).alias("value"))
+    rows = listed.select(F.explode_outer("_keys").alias("skill"), "value", one.alias("job_demand"), zero.alias("course_supply"))
     if courses is not None:
         rows = rows.unionByName(
             explode_skills(courses, F.lit(None).cast("double").alias("value"), zero.alias("job_demand"), one.alias("course_supply"))

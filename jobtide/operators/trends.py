@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobtide.functions import roles as rl
-from jobtide.functions.scalars import monday, number, parse_time, run_timestamp
+from jobtide.functions.scalars import monday, number, numeric, parse_time, run_timestamp
 from jobtide.functions.text import blank_to_null
 from jobtide.operators.gaps import explode_skills, skill_counts
 
@@ -26,8 +26,9 @@ def skill_trend_history(jobs: DataFrame, courses: DataFrame, run_id: str | Colum
     the exploded ones.
     """
     run = F.lit(run_id) if isinstance(run_id, str) else run_id
-    # the title is only looked at where role columns are missing, as it costs a rule chain per row
-    number_of = rl.role_number(F.col("title"))
+    # the title is only looked at where role columns are missing, as it costs a rule chain per row; the chain stands within a
+    # function over an array, or the code generated for the whole step is too long for the JVM to compile
+    number_of = F.element_at(F.transform(F.array(F.col("title")), lambda title: rl.role_number(title)), 1)
     role = blank_to_null(F.col("role_category"))
     family = blank_to_null(F.col("role_family"))
     if "title" in jobs.columns:
@@ -40,8 +41,8 @@ def skill_trend_history(jobs: DataFrame, courses: DataFrame, run_id: str | Colum
         F.coalesce(blank_to_null(F.col("location")), F.lit("Unknown")).alias("location"),
         role.alias("role_category"),
         family.alias("role_family"),
-        number(F.col("salary_min")).alias("salary_min"),
-        number(F.col("salary_max")).alias("salary_max"),
+        numeric(jobs, "salary_min").alias("salary_min"),
+        numeric(jobs, "salary_max").alias("salary_max"),
     )
     grouped = exploded.groupBy("run_id", "source_name", "skill", "location", "role_category", "role_family").agg(
         F.count(F.lit(1)).alias("job_count"),
