@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from jobtide import schemas, storage
 from jobtide.functions import roles as rl
 from jobtide.functions import sql_functions
-from jobtide.operators import enrich
+from jobtide.operators import enrich, gaps
 from jobtide.plans import star
 from jobtide.plans.pipeline import run_pipeline
 from jobtide.sources import tables
@@ -202,8 +202,11 @@ SELECT run_id, warehouse, (SELECT count(*) FROM pjobs) AS job_records, (SELECT c
   (SELECT count(*) FROM s) + 1 AS sources, (SELECT CAST(sum(n) AS BIGINT) FROM s) AS source_records FROM r""")
 def run_logs(spark, sf):
     root = storage.scratch(spark, "logs")
-    jobs, courses, history = b.part_jobs(spark, sf), b.part_courses(spark, sf), b.trends(spark, sf)
-    scored = tables_of_gaps(spark, sf)
+    # written once, as a run of the pipeline does, with the columns that the logs read: three runs and the status start from them
+    jobs = storage.copied(spark, b.part_jobs(spark, sf).select("source_name", "skills", "salary_min", "salary_max"), "log-jobs")
+    courses = b.part_courses(spark, sf)
+    scored = storage.copied(spark, gaps.skill_gap_summary(jobs, courses, b.part_taxonomy()), "log-gaps")
+    history = storage.copied(spark, b.trends(spark, sf), "log-trends")
     names = [r[0] for r in b.table(spark, sf, "customer").select("c_mktsegment").distinct().collect()]
     status = tables.source_status(jobs.select("source_name"), [(n, "job_posting") for n in [*names, "NOWHERE"]], "2026-07-01 00:00:00", "2026-07-01 00:00:05")
     for run, warehouse in (("r1", "failed"), ("r2", "skipped"), ("r1", "loaded")):
@@ -214,12 +217,6 @@ def run_logs(spark, sf):
     return log.join(per_run, "run_id").select("run_id", "warehouse", "job_records", "course_records", "trend_rows", "sources", "source_records")
 
 
-def tables_of_gaps(spark, sf):
-    from workload.score_queries import part_gaps
-
-    return part_gaps(spark, sf)
-
-
 @query("evidence_missing", f"""
 WITH {b.EVIDENCE_SQL}, w AS (SELECT DISTINCT CASE WHEN p_size < 20 THEN 'Lathe' ELSE 'Anvil' END AS e, '11-' || (p_size % 4) AS soc FROM part),
 found AS (SELECT DISTINCT x.skill, x.example FROM w JOIN ex x ON x.example = w.e JOIN prof p ON p.skill = x.skill AND p.soc = w.soc)
@@ -275,6 +272,4 @@ def pipeline_rerun(spark, sf):
 
 def storage_copy(spark, df):
     """The rows as they are now."""
-    path = storage.scratch(spark, "seen")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return storage.copied(spark, df, "seen")
