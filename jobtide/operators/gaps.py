@@ -65,6 +65,7 @@ def skill_totals(jobs: DataFrame, courses: DataFrame | None = None) -> DataFrame
     median is the baseline.
     """
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    blank = F.when(F.col("skill") == _EVERY_JOB, one).otherwise(zero).alias("every_job")
     named = F.filter(skill_list(jobs), lambda s: F.trim(s) != "")
     keys = F.concat(F.coalesce(named, F.array().cast("array<string>")), F.array(F.lit(_EVERY_JOB)))
     listed = jobs.select(keys.alias("_keys"), midpoint(jobs).alias("value"))
@@ -73,8 +74,10 @@ def skill_totals(jobs: DataFrame, courses: DataFrame | None = None) -> DataFrame
         rows = rows.unionByName(
             explode_skills(courses, F.lit(None).cast("double").alias("value"), zero.alias("job_demand"), one.alias("course_supply"))
         )
-    per_skill = exact_median(rows, ["skill"], "value", "median_salary", ["job_demand", "course_supply"])
-    is_skill = F.col("skill") != _EVERY_JOB
+    per_skill = exact_median(rows.select("*", blank), ["skill"], "value", "median_salary", ["job_demand", "course_supply", "every_job"])
+    # a sum, not the key: a filter of the key would be pushed down to the rows, and the two uses of the medians would share no
+    # pass over the jobs
+    is_skill = F.col("every_job") == 0
     # one row of maxima, whatever the number of skills; one struct of all columns, so that its plan keeps the columns
     # of the one it is compared with and shares its shuffles
     most = per_skill.agg(

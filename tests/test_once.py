@@ -44,3 +44,19 @@ def test_titles_are_classified_only_where_a_role_is_missing(spark):
 def test_terms_are_matched_once(spark):
     found = plan(text_queries.skill_terms(spark, "/root/testdata/sf0.001"))
     assert found.count("csharp") == 1 and found.count("\\bdans\\b") == 1
+
+
+def test_the_gap_summary_goes_over_the_jobs_twice(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        seen.add(1)
+        return row
+
+    rows = [("r", "s", "l", "x", "y", "t", 1.0, 2.0 + n, skills) for n, skills in enumerate((["a", " "], ["a", "b", None], [], None))]
+    jobs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(counted), JOBS)
+    courses = spark.createDataFrame([(["b", "c", ""],)], "skills array<string>")
+    got = {r.skill: (r.job_demand, r.course_supply, r.median_salary, r.most_demand, r.most_supply, r.baseline) for r in gaps.skill_totals(jobs, courses).collect()}
+    assert got == {"a": (2, 0, 1.75, 2, 1, 2.25), "b": (1, 1, 2.0, 2, 1, 2.25), "c": (0, 1, None, 2, 1, 2.25)}
+    # once for the bands and once for their middle; the maxima share both passes
+    assert seen.value == 2 * len(rows)
