@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from jobtide import storage
 from jobtide.functions import scoring
 from jobtide.operators import certifications as ce
 from jobtide.operators import enrich, filters, gaps, kpis
@@ -18,7 +19,9 @@ AS_OF = "2001-12-31 00:00:00"
 
 
 def part_gaps(spark, sf):
-    return gaps.skill_gap_summary(b.part_jobs(spark, sf), b.part_courses(spark, sf), b.part_taxonomy())
+    # written once, with the columns that are read, as the medians go over the jobs twice
+    jobs = storage.copied(spark, b.part_jobs(spark, sf).select("skills", "salary_min", "salary_max"), "gap-jobs")
+    return gaps.skill_gap_summary(jobs, b.part_courses(spark, sf), b.part_taxonomy())
 
 
 def doubled(df):
@@ -146,8 +149,11 @@ WITH {b.PART_GAPS_SQL}, kept AS (SELECT skill FROM gaps WHERE category = 'Type'
 m AS (SELECT run_id, unnest(skills) AS skill FROM pjobs)
 SELECT run_id, skill, count(*) AS jobs FROM m WHERE skill IN (SELECT skill FROM kept) GROUP BY 1, 2""")
 def filter_gap_ui(spark, sf):
-    mentions = gaps.explode_skills(b.part_jobs(spark, sf), "run_id").groupBy("run_id", "skill").agg(F.count(F.lit(1)).alias("jobs"))
-    _, kept = filters.filter_gap_ui(part_gaps(spark, sf), mentions, ["Type"], ["High-value", "Good bet"], 61)
+    # written once, with the columns that are read: the mentions and both passes of the medians start from them
+    jobs = storage.copied(spark, b.part_jobs(spark, sf).select("run_id", "skills", "salary_min", "salary_max"), "gap-jobs")
+    mentions = gaps.explode_skills(jobs, "run_id").groupBy("run_id", "skill").agg(F.count(F.lit(1)).alias("jobs"))
+    scored = gaps.skill_gap_summary(jobs, b.part_courses(spark, sf), b.part_taxonomy())
+    _, kept = filters.filter_gap_ui(scored, mentions, ["Type"], ["High-value", "Good bet"], 61)
     return kept.select("run_id", "skill", "jobs")
 
 
