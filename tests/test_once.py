@@ -9,7 +9,7 @@ from jobtide.functions import roles as rl
 from jobtide.operators import gaps, trends
 from jobtide.operators.medians import exact_median
 from jobtide.plans import measures
-from workload import star_queries, text_queries
+from workload import builtin_queries, score_queries, star_queries, text_queries
 
 JOBS = "run_id string, source_name string, location string, role_category string, role_family string, title string, salary_min double, salary_max double, skills array<string>"
 
@@ -72,3 +72,12 @@ def test_facts_with_keys_alone_are_views(spark, monkeypatch, tmp_path):
     assert measures.skill_supply_score(built).count() > 0 and measures.rising_skills_count(built).count() == 1
     folder = next(tmp_path.glob("star-*"))
     assert {p.name for p in folder.iterdir()} == {"jobs", "courses", "trends", "gaps", "star-dim_source", "star-dim_skill"}
+
+
+def test_inputs_of_several_passes_are_written_once(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: str(tmp_path))
+    score_queries.filter_gap_ui(spark, "/root/testdata/sf0.001").collect()
+    assert [p.name[:8] for p in tmp_path.iterdir()] == ["gap-jobs"]
+    loaded = builtin_queries.warehouse_load(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.run_id for r in loaded) == ["r1", "r2"] and len({(r.records, r.salaries) for r in loaded}) == 1
+    assert len(list(tmp_path.glob("warehouse-jobs-*"))) == 1
