@@ -457,15 +457,33 @@ def stored_keys(spark: SparkSession, path: str, keys: Sequence[str], schema: T.S
     return out
 
 
+def _brings_nothing(spark: SparkSession, df: DataFrame, path: str, keys: Sequence[str], batch_id: int | str) -> bool:
+    """Whether other batches have stored every whole key of these rows; their other columns are not computed for that."""
+    if not {n for p in (path, f"{path}_keys") for n in _batches(spark, p)} - {str(batch_id)}:
+        return False
+    whole = split_rejects(df.select(*keys), keys)[0].distinct()
+    held, stage = _staged(spark, whole.withColumn("_bucket", _bucket(keys)))
+    buckets = sorted(r[0] for r in held.select("_bucket").distinct().collect())
+    known = stored_keys(spark, path, keys, df.schema, batch_id, buckets)
+    again = known.join(held.select(*keys), list(keys), "left_semi").distinct()
+    nothing = held.select(*keys).join(again, list(keys), "left_anti").isEmpty()
+    storage.delete(spark, stage)
+    return nothing
+
+
 def append_batch(spark: SparkSession, df: DataFrame, path: str, keys: Sequence[str], batch_id: int | str, order: Column | None = None) -> None:
     """Append the rows of a numbered batch whose key no other batch has stored.
 
     Rows, their keys and the rejects of a batch have folders of their own, and a batch that comes again replaces them,
     so a replay adds nothing, neither rows nor rejects. A batch meets only the stored keys of its own buckets; a small one is
-    sent to them (by Spark's size limit for broadcasts), so the stored keys are not shuffled.
+    sent to them (by Spark's size limit for broadcasts), so the stored keys are not shuffled. Of a batch without a new key, which
+    its keys tell alone, only the rejects are computed.
     """
     ordinal = F.monotonically_increasing_id() if order is None else order
-    staged, stage = _staged(spark, _cleaned(df).withColumn("_order", ordinal).withColumn("_bucket", _bucket(keys)))
+    cleaned = _cleaned(df)
+    if _brings_nothing(spark, cleaned, path, keys, batch_id):
+        cleaned = split_rejects(cleaned, keys)[1]
+    staged, stage = _staged(spark, cleaned.withColumn("_order", ordinal).withColumn("_bucket", _bucket(keys)))
     complete, rejects = split_rejects(staged, keys)
     buckets = sorted(r[0] for r in complete.select("_bucket").distinct().collect())
     known = stored_keys(spark, path, keys, df.schema, batch_id, buckets)

@@ -194,6 +194,25 @@ def test_a_batch_opens_its_own_buckets_only(spark, tmp_path):
     assert tables.read_batches(spark, path, every.schema).count() == 20_000
 
 
+def test_of_a_batch_without_new_keys_the_rejects_alone_are_computed(spark, tmp_path):
+    path, seen = str(tmp_path / "jobs"), spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(title):
+        seen.add(1)
+        return title
+
+    first = batch(spark, ("a", "1", "x"), ("a", "1", "y"), ("b", "2", "z"), ("a", None, "no key")).withColumn("title", counted("title"))
+    tables.append_batch(spark, first, path, KEYS, "one")
+    assert seen.value == 4
+    tables.append_batch(spark, first, path, KEYS, "two")
+    assert seen.value == 5
+    tables.append_batch(spark, first.union(batch(spark, ("c", "3", "new"), ("c", "3", "second"))), path, KEYS, "three")
+    rows = tables.read_batches(spark, path, batch(spark, ("a", "1", "x")).schema)
+    assert {tuple(r) for r in rows.collect()} == {("a", "1", "x"), ("b", "2", "z"), ("c", "3", "new")} and rows.count() == 3
+    assert spark.read.parquet(f"{path}_rejects").count() == 3
+
+
 def test_a_stream_that_starts_over_adds_nothing(spark, tmp_path):
     root = str(tmp_path)
     payload = {f.name: None for f in schemas.JOB_PAYLOAD.fields}
