@@ -26,8 +26,11 @@ by shared pairs of neighbouring words. An edit touches two pairs at most, so of
 pairs of the longer line all but twice the bound stand in the other line too. Pairs have one order for all
 lines, the rare ones first, and two lines within the bound share one among the first few of each, however
 they are ordered: what is left out of a prefix is fewer pairs than must be shared. The counts behind the order come
-from a sample, which changes the work but not what is found. Lines are compared with the earliest line of
-each of their pairs, then those still open with all earlier ones; the words decide.
+from a sample, which changes the work but not what is found. Keys travel as bytes, a row for all keys of a part that a
+task has met. Lines are compared with the earliest line of each of their keys that may be within the bound by the number of its words
+and by its marks, then those still open with every such one; the words decide. Marks are bits, each word turning one over, so an edit turns
+two at most. Shared keys are gone through in `PASSES` passes, and tables and shuffle files go as soon as they are read, since the keys
+of all lines are larger than the texts as stored.
 
 Order is by doc_id (nulls first), a hash of the text, and the line's number. Rows that repeat both id and
 text are one document: what holds for one holds for each. Nulls have no lines and stay null.
@@ -61,11 +64,16 @@ FEW = 8
 VARIANTS = 200_000
 BASE, BYTE_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _MASK = (1 << 64) - 1
-#: Buckets in which pairs are counted, in one text of so many, and the most lines whose pairs are sorted at once.
-PAIR_BUCKETS, PAIR_SAMPLE, PAIR_LINES = 1 << 20, 16, 1 << 16
+#: Buckets in which pairs are counted, parts in which they are summed, in one text of so many, and the most lines whose pairs are sorted at once.
+PAIR_BUCKETS, PAIR_PARTS, PAIR_SAMPLE, PAIR_LINES = 1 << 20, 64, 16, 1 << 16
 #: The fewest words of a line that may be two edits from another.
 PAIR_WORDS = 2 * NEAR_WORDS - 2
-LINE = "doc_id long, tie long, line int, n int, whole long, halves array<long>"
+#: Bits of a line's marks, lines that are marked at once, keys that are dealt out at once, pairs that are told apart at once, earliest
+#: lines of a key that are tried one by one, and passes over the shared keys.
+MARK_BITS, MARK_LINES, DEALT, TRIED, ONE_BY_ONE, PASSES = 256, 1 << 13, 1 << 20, 1 << 20, 8, 4
+LINE = "doc_id long, tie long, line int, n int, whole long, halves array<long>, marks binary"
+#: What is known of a line while its keys are compared: its order number, its words, the marks, and whether it is compared with all lines.
+KNOWN = np.dtype([("ord", "<i8"), ("n", "<i4"), ("open", "?"), ("marks", "<u8", MARK_BITS // 64)])
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -144,7 +152,7 @@ class Cut:
 
 
 def lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """The lines of at least so many words: where they stand, their hash, and the hashes of their halves."""
+    """The lines of at least so many words: where they stand, their hash, the hashes of their halves, and their marks."""
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +174,7 @@ def lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                     [
                         batch.column(0).take(take), batch.column(1).take(take), pa.array((line - cut.lines[row]).astype(np.int32)), pa.array(n.astype(np.int32)),
                         pa.array(_mixed(cut.run(a, b), n)), pa.ListArray.from_arrays(ends, pa.array(np.stack(halves, 1).ravel())),
+                        _blobs(_marks(cut, a, n), np.arange(len(n))),
                     ],
                     [c.split()[0] for c in LINE.split(", ")],
                 )
@@ -173,6 +182,27 @@ def lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     return _keyed(docs).mapInArrow(run, LINE)
 
 
+def _marks(cut: Cut, a: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """`MARK_BITS` of each line, each word turning one over: an edit turns two over at most."""
+    out = np.empty((len(n), MARK_BITS // 8), np.uint8)
+    for at in range(0, len(n), MARK_LINES):
+        some = n[at : at + MARK_LINES]
+        owner = np.repeat(np.arange(len(some)), some)
+        word = np.arange(len(owner)) - np.repeat(np.cumsum(some) - some, some) + np.repeat(a[at : at + MARK_LINES], some)
+        cell = owner * MARK_BITS + (cut.hash[word] >> np.uint64(20) & np.uint64(MARK_BITS - 1)).astype(np.int64)
+        odd = np.bincount(cell, minlength=len(some) * MARK_BITS) & 1
+        out[at : at + MARK_LINES] = np.packbits(odd.astype(np.uint8).reshape(-1, MARK_BITS), axis=1)
+    return out
+
+
+def _blobs(rows: np.ndarray, start: np.ndarray) -> pa.Array:
+    """The bytes of the rows, as one binary value from each start to the next."""
+    rows = np.ascontiguousarray(rows)
+    size = rows.nbytes // max(len(rows), 1)
+    ends = np.r_[start, len(rows)].astype(np.int32) * size
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(rows.tobytes())])
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
 
@@ -243,52 +273,26 @@ def _chosen(docs: DataFrame, bits: Bits | None, inside: bool) -> DataFrame:
     return cells.mapInArrow(run, docs.schema)
 
 
-def _variants(texts: DataFrame) -> DataFrame:
-    """All variants of the chosen lines of each text: key, deleted place (-1: none), and the line's order and hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, texts in _chunks(batch.column(2)):
-                cut = Cut(texts)
-                chosen = [np.array(x, np.int64) for x in batch.column(3).slice(first, len(texts)).to_pylist()]
-                row, number = np.repeat(np.arange(len(texts)), [len(x) for x in chosen]), np.concatenate(chosen)
-                a = cut.words[cut.lines[row] + number]
-                n = cut.words[cut.lines[row] + number + 1] - a
-                # a line too short to differ from one of its length, or a shorter one, has no variants but itself
-                cuts = np.where(n < NEAR_WORDS, 0, n)
-                ends = np.cumsum(cuts + 1)
-                # a long line is more than one part
-                for at in range(0, int(ends[-1]), VARIANTS):
-                    every = np.arange(at, min(at + VARIANTS, int(ends[-1])))
-                    owner = np.searchsorted(ends, every, side="right")
-                    place = every - (ends - cuts - 1)[owner] - 1
-                    lo, some = a[owner], place >= 0
-                    hi = lo + n[owner]
-                    key = cut.run(lo, hi)
-                    key[some] = cut.without(lo[some], hi[some], (lo + place)[some])
-                    rows = pa.array(first + row[owner])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(_mixed(key, n[owner] - some)), pa.array(place.astype(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows),
-                            pa.array(number[owner].astype(np.int32)),
-                        ],
-                        ["key", "place", "doc_id", "tie", "line"],
-                    )
+def _order():
+    return F.struct("doc_id", "tie", "line")
 
-    return texts.mapInArrow(run, "key long, place int, doc_id long, tie long, line int")
 
+class _Scratch:
+    """Tables written below the shared folder by name, added to if there, and deleted as soon as they are of no more use."""
 
-def _order():
-    return F.struct("doc_id", "tie", "line")
+    def __init__(self, spark) -> None:
+        self.spark, self.paths = spark, {}
 
+    def kept(self, frame: DataFrame, name: str) -> DataFrame:
+        path = self.paths.setdefault(name, storage.scratch(self.spark, name))
+        # hashes have no repeats that a dictionary could spare
+        with storage.shuffles_dropped(self.spark):
+            frame.write.mode("append").option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
 
-def _texts_of(docs: DataFrame, wanted: DataFrame, bits: Bits | None) -> DataFrame:
-    """``doc_id, tie, text`` and the wanted line numbers, for documents that have any."""
-    per = wanted.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set("line")).alias("lines"))
-    texts = _keyed(_chosen(docs.select("doc_id", "text"), bits, True)).alias("t")
-    match = F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("t.tie") == F.col("p.tie"))
-    # rows that repeat id and text bring the same lines again, which changes no minimum
-    return texts.join(per.alias("p"), match).select("t.doc_id", "t.tie", "t.text", "p.lines")
+    def drop(self, *names: str) -> None:
+        for name in names or list(self.paths):
+            storage.delete(self.spark, self.paths.pop(name))
 
 
 def repeated(docs: DataFrame, least: int = NEAR_WORDS) -> DataFrame:
@@ -297,28 +301,58 @@ def repeated(docs: DataFrame, least: int = NEAR_WORDS) -> DataFrame:
     Lines of fewer than `least` words stay; with `MIN_WORDS` all that have a word are compared.
     """
     spark = docs.sparkSession
-    found = stored(spark, lines(docs, least), "lines")
-    firsts = stored(spark, found.groupBy("whole", "n").agg(F.min(_order()).alias("first"), F.first("halves").alias("halves")), "first-lines")
+    scratch = _Scratch(spark)
+    kept = scratch.kept
+    found = kept(lines(docs, least), "lines")
+    per = found.groupBy("whole", "n").agg(F.min(_order()).alias("first"), F.first("marks").alias("marks"), F.count(F.lit(1)).alias("c"))
+    # numbers in the order of lines
+    firsts = kept(per.orderBy("first").withColumn("ord", F.monotonically_increasing_id()), "first-lines")
     place = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.tie") == F.col("tie")) & (F.col("first.line") == F.col("line"))
-    exact = found.join(firsts.select("whole", "n", "first"), ["whole", "n"]).where(~place).select("doc_id", "tie", "line", "first")
+    again = firsts.where("c > 1").select("whole", "n", "first")
+    exact = kept(found.select("doc_id", "tie", "line", "n", "whole").join(again, ["whole", "n"]).where(~place).select("doc_id", "tie", "line", "first"), "repeated-lines")
+    suspects = kept(_distinct_lines(_shared(_halves(found))), "suspect-lines")
+    scratch.drop("lines")
+    shared = kept(_shared(_keys(docs, _map_of(suspects, "whole"), least)), "shared-keys")
+
+    def compared(again: Bits | None, every: bool, name: str) -> DataFrame:
+        # a pass over the keys of some parts at a time, with what is known of their lines
+        for k in range(PASSES):
+            pairs = kept(_candidates(shared.where(F.col("part") % PASSES == k), firsts, again, every), name)
+        return pairs.distinct()
+
+    first_pairs = compared(None, False, "first-pairs")
+    near = _verified(docs, firsts, first_pairs, scratch)
+    still = kept(first_pairs.select("ord").distinct().join(near, "ord", "left_anti").join(firsts.select("ord", "whole"), "ord"), "open-lines")
+    if not still.isEmpty():
+        # lines whose earliest candidates were too far meet all others
+        others = compared(_map_of(still, "whole"), True, "open-pairs").join(still.select("ord"), "ord", "left_semi").join(first_pairs, ["ord", "near"], "left_anti")
+        near = _verified(docs, firsts, others, scratch)
+    at = firsts.select("ord", "first")
+    ends = near.join(at, "ord").select("first.*", "near").join(at.withColumnsRenamed({"ord": "near"}), "near").select("doc_id", "tie", "line", "first")
+    with storage.shuffles_dropped(spark):
+        gone = stored(spark, exact.unionByName(ends), "repeated-lines")
+    scratch.drop()
+    return gone
 
-    # lines of fewer words than these have none but equal partners
-    halves = firsts.where(F.col("n") >= NEAR_WORDS - 1).select("first", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
-    suspects = stored(spark, halves.join(shared, "half").select("first.*").distinct(), "suspect-lines")
-    variants = stored(spark, _variants(_texts_of(docs, suspects, _documents(suspects))), "line-variants")
-    # the earliest of a key for each deleted place, and over all places
-    by_place = variants.groupBy("key", "place").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("c"))
-    by_key = by_place.groupBy("key").agg(
-        F.min(F.when(F.col("place") < 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("place") >= 0, F.col("first"))).alias("cut"), F.sum("c").alias("c")
-    )
-    earliest = by_place.join(by_key.where("c > 1"), "key").select(
-        "key", "place", F.when(F.col("place") < 0, F.col("cut")).otherwise(F.least("first", "whole")).alias("first")
-    ).where("first IS NOT NULL")
-    pairs = variants.join(earliest, ["key", "place"]).where(F.col("first") < _order())
-    near = pairs.select("doc_id", "tie", "line", F.col("first").alias("near")).distinct()
-    one = stored(spark, exact.unionByName(_verified(docs, stored(spark, near, "near-lines"))), "repeated-lines")
-    return one.unionByName(_several(docs, firsts, one.select("doc_id", "tie", "line")))
+
+def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, scratch: _Scratch) -> DataFrame:
+    """``ord, near``: the lines that are in fact within the bound of another, and the earliest of those, by their words; those of earlier calls too."""
+    pairs = scratch.kept(pairs, "line-pairs")
+    ends = pairs.select("ord").union(pairs.select("near")).distinct()
+    wanted = scratch.kept(firsts.join(ends, "ord").select(F.col("ord").alias("whole"), "first.*"), "wanted-lines")
+    texts = scratch.kept(_fetched(docs, wanted), "line-texts")
+
+    @F.pandas_udf("boolean")
+    def close(a, b):
+        import pandas as pd
+
+        return pd.Series([within_one(x.encode().split(), y.encode().split()) for x, y in zip(a, b, strict=True)], dtype="bool")
+
+    own, other = texts.withColumnsRenamed({"whole": "ord", "words": "own_words"}), texts.withColumnsRenamed({"whole": "near", "words": "other_words"})
+    near = pairs.join(own, "ord").join(other, "near").where(close("own_words", "other_words")).groupBy("ord").agg(F.min("near").alias("near"))
+    near = scratch.kept(near, "near-lines")
+    scratch.drop("line-pairs", "wanted-lines", "line-texts")
+    return near
 
 
 def _pairs(cut: Cut, line: np.ndarray, rare: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -350,68 +384,283 @@ def _rare(docs: DataFrame) -> np.ndarray:
                 cut = Cut(texts)
                 for _, _, bucket in _pairs(cut, np.flatnonzero(np.diff(cut.words) >= PAIR_WORDS), None):
                     total += np.bincount(bucket, minlength=PAIR_BUCKETS)
-        met = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], ["bucket", "c"])
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PAIR_PARTS, dtype=np.int32)), _blobs(total, np.arange(PAIR_PARTS) * (PAIR_BUCKETS // PAIR_PARTS))], ["part", "counts"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                counts = np.frombuffer(counts.as_buffer(), "<i8")
+                totals[part] = totals[part] + counts if part in totals else counts
+        for part, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), _blobs(np.log2(np.maximum(total, 1)).astype(np.uint8), np.zeros(1, np.int64))], ["part", "logs"])
+
+    counted = _keyed(docs).where(F.pmod("tie", F.lit(PAIR_SAMPLE)) == 0).mapInArrow(run, "part int, counts binary")
+    out = np.zeros((PAIR_PARTS, PAIR_BUCKETS // PAIR_PARTS), np.uint8)
+    with storage.shuffles_dropped(docs.sparkSession):
+        # numbers of one byte, whatever was counted
+        for part, logs in counted.repartition("part").mapInArrow(summed, "part int, logs binary").collect():
+            out[part] = np.frombuffer(logs, np.uint8)
+    return out.ravel()
+
+
+def _pair_keys(cut: Cut, line: np.ndarray, n: np.ndarray, rare: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of each line, of which two lines within the bound share one at least: keys and the lines' places in `line`."""
+    # the longest prefix that any other line of n or more words needs: those of n, or of the next bound
+    up = -(-n // NEAR_WORDS) * NEAR_WORDS
+    reach = 1 + np.maximum(2 * (n // NEAR_WORDS), n - up + 2 * (up // NEAR_WORDS))
+    for owner, pair, _ in _pairs(cut, line, rare):
+        new = np.r_[True, owner[1:] != owner[:-1]]
+        place = np.arange(len(owner)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+        fresh = new | np.r_[True, pair[1:] != pair[:-1]]
+        # the second of equal pairs is another key
+        nth = np.arange(len(owner)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        some = place < reach[owner]
+        yield _mixed(pair[some], 3 + nth[some]), owner[some]
+
+
+def _variant_keys(cut: Cut, a: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each line whole and without each of its words: keys and the lines' places in `a`."""
+    # a line too short to differ from one of its length, or a shorter one, has no variants but itself
+    cuts = np.where(n < NEAR_WORDS, 0, n)
+    ends = np.cumsum(cuts + 1)
+    # a long line is more than one part
+    for at in range(0, int(ends[-1]) if len(ends) else 0, VARIANTS):
+        every = np.arange(at, min(at + VARIANTS, int(ends[-1])))
+        owner = np.searchsorted(ends, every, side="right")
+        place = every - (ends - cuts - 1)[owner] - 1
+        lo, some = a[owner], place >= 0
+        hi = lo + n[owner]
+        key = cut.run(lo, hi)
+        key[some] = cut.without(lo[some], hi[some], (lo + place)[some])
+        yield _mixed(key, n[owner] - some), owner
+
+
+# Keys are many, so rows are not: a row holds all keys of a part, as bytes, that a task has met.
+
+
+def _part_bits(spark) -> int:
+    """Bits of the number of a part: parts are some more than partitions."""
+    return min(12, max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+
+
+def _dealt(part: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each part, with the bytes of its entries."""
+    turn = np.argsort(part.astype(np.uint16), kind="stable")
+    part = part[turn]
+    start = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))
+    return pa.RecordBatch.from_arrays([pa.array(part[start].astype(np.int32)), *[_blobs(x[turn], start) for x in columns.values()]], ["part", *columns])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], *kinds: str | np.dtype) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The parts of a task, one after the other, and their columns whole."""
+    held: dict[int, list[list[pa.Buffer]]] = {}
+    for batch in batches:
+        columns = batch.columns
+        for k, part in enumerate(columns[0].to_pylist()):
+            held.setdefault(part, []).append([c[k].as_buffer() for c in columns[1:]])
+    for part in sorted(held):
+        rows = held.pop(part)
+        yield part, [np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in enumerate(kinds)]
+
+
+class _Dealer:
+    """Gathers keys and lines until they are worth dealing out by the first bits of the key."""
+
+    def __init__(self, bits: int) -> None:
+        self.shift, self.held, self.size = np.uint64(64 - bits), [], 0
+
+    def put(self, key: np.ndarray, whole: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((key.view(np.uint64), whole))
+        self.size += len(key)
+        if self.size >= DEALT:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            key, whole = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            self.held, self.size = [], 0
+            yield _dealt(key >> self.shift, keys=key.astype(np.uint32), wholes=whole)
 
-    met = _keyed(docs).where(F.pmod("tie", F.lit(PAIR_SAMPLE)) == 0).mapInArrow(run, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).where("c > 1").toPandas()
-    out = np.zeros(PAIR_BUCKETS, np.uint8)
-    out[met.bucket.to_numpy(np.int64)] = np.log2(met.c.to_numpy(float)).astype(np.uint8)
-    return out
 
+DEALT_KEYS = "part int, keys binary, wholes binary"
 
-def _prefixes(docs: DataFrame) -> DataFrame:
-    """``key, whole``: the pairs of each line, of which two lines within the bound share one at least."""
-    sent = docs.sparkSession.sparkContext.broadcast(_rare(docs))
+
+def _keys(docs: DataFrame, suspects: Bits | None, least: int) -> DataFrame:
+    """The keys of all lines: prefixes of pairs, and of the suspects, or without a map of all, the variants with a word deleted."""
+    spark = docs.sparkSession
+    sent, bits = spark.sparkContext.broadcast((_rare(docs), suspects)), _part_bits(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (rare, suspects), dealer = sent.value, _Dealer(bits)
         for batch in batches:
             for _, texts in _chunks(batch.column(0)):
                 cut = Cut(texts)
-                line = np.flatnonzero(np.diff(cut.words) >= PAIR_WORDS)
+                line = np.flatnonzero(np.diff(cut.words) >= max(least, NEAR_WORDS - 1))
                 a, b = cut.words[line], cut.words[line + 1]
                 whole = _mixed(cut.run(a, b), b - a)
-                line, whole = line[(one := np.unique(whole, return_index=True)[1])], whole[one]
-                n = (b - a)[one]
-                # the longest prefix that any other line of n or more words needs: those of n, or of the next bound
-                up = -(-n // NEAR_WORDS) * NEAR_WORDS
-                reach = 1 + np.maximum(2 * (n // NEAR_WORDS), n - up + 2 * (up // NEAR_WORDS))
-                for owner, pair, _ in _pairs(cut, line, sent.value):
-                    new = np.r_[True, owner[1:] != owner[:-1]]
-                    place = np.arange(len(owner)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-                    fresh = new | np.r_[True, pair[1:] != pair[:-1]]
-                    # the second of equal pairs is another key
-                    nth = np.arange(len(owner)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-                    some = place < reach[owner]
-                    yield pa.RecordBatch.from_arrays([pa.array(_mixed(pair[some], 3 + nth[some])), pa.array(whole[owner[some]])], ["key", "whole"])
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, whole long")
-
-
-def _several(docs: DataFrame, firsts: DataFrame, one: DataFrame) -> DataFrame:
-    """Lines, other than those already found, that are within the bound of an earlier one."""
-    spark = docs.sparkSession
-    # one shuffle of the pairs: those that a single line holds end here
-    same = Window.partitionBy("key")
-    every = _prefixes(docs).withColumn("lo", F.min("whole").over(same)).withColumn("hi", F.max("whole").over(same))
-    shared = every.where("lo < hi").select("key", "whole").distinct()
-    place = firsts.where(F.col("n") >= PAIR_WORDS).select("whole", "n", "first")
-    held = stored(spark, shared.join(place, "whole").select("key", "n", "first"), "shared-pairs")
-    key = lambda x: F.xxhash64(F.coalesce(x["doc_id"], F.lit(0)), x["doc_id"].isNull(), x["tie"], x["line"])
-
-    def left(rows: DataFrame, *found: DataFrame) -> DataFrame:
-        rows = rows.withColumn("own", key(F.col("first")))
-        for f in found:
-            rows = rows.join(f.select(key(F.struct("doc_id", "tie", "line")).alias("own")), "own", "left_anti")
-        return rows.drop("own")
-
-    def near(rows: DataFrame, others: DataFrame, name: str) -> DataFrame:
-        others = others.select("key", F.col("n").alias("other_n"), F.col("first").alias("near"))
-        fits = (F.col("near") < F.col("first")) & (F.abs(F.col("n") - F.col("other_n")) * NEAR_WORDS <= F.greatest("n", "other_n"))
-        return _verified(docs, stored(spark, rows.join(others, "key").where(fits).select("first.*", "near").distinct(), name))
-
-    earliest = held.groupBy("key").agg(F.min(F.struct("first", "n")).alias("e")).select("key", "e.*")
-    some = stored(spark, near(left(held, one), earliest, "earliest-pairs"), "repeated-by-earliest")
-    return some.unionByName(near(left(held, one, some), held, "open-pairs"))
+                whole, one = np.unique(whole, return_index=True)
+                line, a, n = line[one], a[one], (b - a)[one]
+                some = np.flatnonzero(n >= PAIR_WORDS)
+                for key, owner in _pair_keys(cut, line[some], n[some], rare):
+                    yield from dealer.put(key, whole[some[owner]])
+                some = np.arange(len(n)) if suspects is None else np.flatnonzero(suspects.there(whole >> 2))
+                for key, owner in _variant_keys(cut, a[some], n[some]):
+                    yield from dealer.put(key, whole[some[owner]])
+        yield from dealer.rest()
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, DEALT_KEYS)
+
+
+def _halves(found: DataFrame) -> DataFrame:
+    """The halves of lines as keys."""
+    bits = _part_bits(found.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = _Dealer(bits)
+        for batch in batches:
+            half = batch.column(1)
+            yield from dealer.put(half.flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(), np.diff(half.offsets.to_numpy())))
+        yield from dealer.rest()
+
+    # lines of fewer words than these have none but equal partners
+    return found.where(F.col("n") >= NEAR_WORDS - 1).select("whole", "halves").mapInArrow(run, DEALT_KEYS)
+
+
+def _shared(dealt: DataFrame) -> DataFrame:
+    """The entries, in order, of those keys that two different lines hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (key, whole) in _gathered(batches, "<u4", "<i8"):
+            both = key.astype(np.uint64) << np.uint64(32) | whole.view(np.uint64) >> np.uint64(32)
+            turn = np.argsort(both)
+            key, whole = key[turn], whole[turn]
+            new = np.r_[True, (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])]
+            key, whole = key[new], whole[new]
+            same = key[1:] == key[:-1]
+            some = np.r_[False, same] | np.r_[same, False]
+            if some.any():
+                yield _dealt(np.full(int(some.sum()), part), keys=key[some], wholes=whole[some])
+
+    return dealt.repartition("part").mapInArrow(run, DEALT_KEYS)
+
+
+def _distinct_lines(shared: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for whole in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(whole.as_buffer(), "<i8")))], ["whole"])
+
+    return shared.select("wholes").mapInArrow(run, "whole long").distinct()
+
+
+def _close(n: np.ndarray, marks: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether lines may be within the bound, by the number of their words and their marks."""
+    most = np.maximum(n[i], n[j])
+    out = np.abs(n[i] - n[j]) * NEAR_WORDS <= most
+    some = np.flatnonzero(out)
+    turned = np.bitwise_count(marks[i[some]] ^ marks[j[some]]).sum(1)
+    out[some] = turned <= 2 * (most[some] // NEAR_WORDS)
+    return out
+
+
+def _earlier(key: np.ndarray, known: np.ndarray, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each line, with each of its keys, the earliest line that may be within the bound, or every one; by their order numbers."""
+    turn = np.lexsort((known["ord"], key))
+    key, order = key[turn], known["ord"][turn]
+    once = np.r_[True, (key[1:] != key[:-1]) | (order[1:] != order[:-1])]
+    key, order, known = key[once], order[once], known[turn[once]]
+    n, marks = known["n"].copy(), np.ascontiguousarray(known["marks"])
+    new = np.r_[True, key[1:] != key[:-1]]
+    start = np.flatnonzero(new)[np.cumsum(new) - 1]
+    left = np.flatnonzero(known["open"] & ~new)
+    done = 0
+    # most lines that are close to any are close to one of the first
+    while not every and done < ONE_BY_ONE and len(left):
+        at = start[left] + done
+        close = _close(n, marks, at, left)
+        yield order[left[close]], order[at[close]]
+        done += 1
+        left = left[~close & (start[left] + done < left)]
+    many = left - start[left] - done
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - many[at] + TRIED)))
+        j = np.repeat(left[at:to], many[at:to])
+        i = np.arange(len(j)) - np.repeat(np.cumsum(many[at:to]) - many[at:to], many[at:to]) + start[j] + done
+        close = _close(n, marks, i, j)
+        i, j = i[close], j[close]
+        if not every:
+            one = np.r_[True, j[1:] != j[:-1]][: len(j)]
+            i, j = i[one], j[one]
+        yield order[j], order[i]
+        at = to
+
+
+def _candidates(shared: DataFrame, firsts: DataFrame, again: Bits | None, every: bool) -> DataFrame:
+    """``ord, near``: lines that share a key with an earlier one that may be within the bound.
+
+    Of each line and key the earliest of these, or for the lines in the map, without a map for all, every one.
+    """
+    spark = shared.sparkSession
+    sent, bits = spark.sparkContext.broadcast(again), _part_bits(spark)
+    shift = np.uint64(64 - bits)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = batch.column(0).to_numpy()
+            rows = np.zeros(len(whole), KNOWN)
+            rows["ord"], rows["n"] = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            rows["marks"] = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(len(whole), -1)
+            rows["open"] = sent.value is None or sent.value.there(whole >> 2)
+            yield _dealt(whole.view(np.uint64) >> shift, wholes=whole, known=rows, keys=np.empty(len(whole), "V0"))
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, key, whole in zip(*batch.columns, strict=True):
+                key, whole = np.frombuffer(key.as_buffer(), "<u4"), np.frombuffer(whole.as_buffer(), "<i8")
+                if sent.value is not None:
+                    # keys without a line of the map have nothing to tell
+                    group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+                    some = np.bincount(group, sent.value.there(whole >> 2))[group] > 0
+                    key, whole = key[some], whole[some]
+                if len(whole):
+                    key = np.uint64(part.as_py()) << np.uint64(32) | key.astype(np.uint64)
+                    yield _dealt(whole.view(np.uint64) >> shift, wholes=whole, known=np.empty(len(whole), "V0"), keys=key)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for k, part in enumerate(batch.column(0).to_pylist()):
+                held.setdefault(part, []).append(tuple(c[k].as_buffer() for c in batch.columns[1:]))
+        for part in sorted(held):
+            rows = held.pop(part)
+            line, of = (np.frombuffer(b"".join(r[0] for r in rows if (r[1].size > 0) == is_known), "<i8") for is_known in (True, False))
+            known, key = np.frombuffer(b"".join(r[1] for r in rows), KNOWN), np.frombuffer(b"".join(r[2] for r in rows), "<u8")
+            if not len(line):
+                continue
+            turn = np.argsort(line)
+            line, known = line[turn], known[turn]
+            for at in range(0, len(key), DEALT // 4):
+                some = of[at : at + DEALT // 4]
+                place = np.minimum(np.searchsorted(line, some), len(line) - 1)
+                # lines of too few words are not among the first
+                there = line[place] == some
+                mine, place = key[at : at + DEALT // 4][there], place[there]
+                if len(mine):
+                    yield _dealt(mine >> np.uint64(32), keys=mine.astype(np.uint32), known=known[place])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (key, known) in _gathered(batches, "<u4", KNOWN):
+            found = [np.stack(x, 1) for x in _earlier(key, known, every)]
+            if found and len(both := np.unique(np.concatenate(found), axis=0)):
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["ord", "near"])
+
+    dealt = "part int, wholes binary, known binary, keys binary"
+    lines_of = firsts.select("whole", "ord", "n", "marks").mapInArrow(known, dealt).unionByName(shared.select("part", "keys", "wholes").mapInArrow(entries, dealt))
+    return lines_of.repartition("part").mapInArrow(met, "part int, keys binary, known binary").repartition("part").mapInArrow(pairs, "ord long, near long")
 
 
 def within_one(a: list[bytes], b: list[bytes]) -> bool:
@@ -456,29 +705,6 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
     return False
 
 
-def _verified(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """The pairs whose words are in fact within the bound."""
-    ends = near.select("doc_id", "tie", "line").union(near.select("near.*")).distinct()
-    texts = _texts_of(docs, ends, _documents(ends))
-    cut = texts.select("doc_id", "tie", F.explode("lines").alias("line"), F.split("text", "\n").alias("cut"))
-    each = cut.select("doc_id", "tie", "line", F.get("cut", F.col("line")).alias("words")).distinct()
-    key = lambda d, t, n: F.xxhash64(F.coalesce(d, F.lit(0)), d.isNull(), t, n)
-    named = each.select(key(F.col("doc_id"), F.col("tie"), F.col("line")).alias("k"), "words")
-    own, other = named.withColumnsRenamed({"k": "own", "words": "own_words"}), named.withColumnsRenamed({"k": "other", "words": "other_words"})
-    pairs = near.select(
-        "doc_id", "tie", "line", F.col("near").alias("first"), key(F.col("doc_id"), F.col("tie"), F.col("line")).alias("own"),
-        key(F.col("near.doc_id"), F.col("near.tie"), F.col("near.line")).alias("other"),
-    )
-
-    @F.pandas_udf("boolean")
-    def close(a, b):
-        import pandas as pd
-
-        return pd.Series([within_one(x.encode().split(), y.encode().split()) for x, y in zip(a, b, strict=True)], dtype="bool")
-
-    return pairs.join(own, "own").join(other, "other").where(close("own_words", "other_words")).groupBy("doc_id", "tie", "line").agg(F.min("first").alias("first"))
-
-
 # --- deletion neighbourhoods alone --------------------------------------------------------------
 
 KEYED = "doc_id long, tie long, line int, n int, whole long, keys array<long>"

@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from jobtide import storage
 from jobtide.llm import bpe, decontaminate, gam, htmltext, linededup, maxent, pii, simhash, tokenfile, topk
 from jobtide.llm.queries import tokenizer
 
@@ -290,6 +291,43 @@ def test_several_words_edited(spark):
     assert {r.doc_id for r in linededup.repeated(docs, linededup.MIN_WORDS).select("doc_id").distinct().collect()} == want
 
 
+def test_line_dedup_leaves_one_table(spark, docs, monkeypatch, tmp_path):
+    """Tables on the way and shuffle files go as soon as they are read: they add up to several times the texts."""
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: str(tmp_path))
+    gone = linededup.repeated(docs, linededup.MIN_WORDS)
+    assert len(list(tmp_path.iterdir())) == 1 and gone.count()
+    # outside, shuffles are kept for as long as they are referred to
+    assert spark.conf.get(storage.CLEANUP, "false") == "false"
+
+
+def test_earliest_lines_then_every_line():
+    """A line is given the earliest line of each key that may be close; on the second way every one, and never itself."""
+    known = np.zeros(12, linededup.KNOWN)
+    known["ord"], known["n"], known["open"] = [5, 3, 1, 4, 2, 0, 0, 9, 8, 7, 6, 10], 10, True
+    known["n"][2] = 5
+    known["marks"][3, 0] = 0b11111
+    key = np.array([1] * 7 + [2] * 5, np.uint32)
+    pairs = lambda every: {(int(x), int(y)) for a, b in linededup._earlier(key, known, every) for x, y in zip(a, b, strict=True)}
+    # line 1 is too short for the others, line 4 has five words that no other has, of which two edits take four
+    assert pairs(False) == {(2, 0), (3, 0), (5, 0), (7, 6), (8, 6), (9, 6), (10, 6)}
+    every = {(a, b) for group in ([0, 2, 3, 5], [6, 7, 8, 9, 10]) for a in group for b in group if b < a}
+    assert pairs(True) == every
+    known["open"] = known["ord"] == 5
+    assert pairs(True) == {(5, 0), (5, 2), (5, 3)}
+
+
+def test_pair_counts_are_whole(spark):
+    """Counts of pairs come to the driver as bytes and are those of every sampled text."""
+    rows = [(k, " ".join(f"w{k % 5}x{j}" for j in range(9))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want, total = docs.where(F.pmod(F.xxhash64("text"), F.lit(linededup.PAIR_SAMPLE)) == 0).collect(), np.zeros(linededup.PAIR_BUCKETS, np.int64)
+    for r in want:
+        cut = linededup.Cut([r.text.encode()])
+        for _, _, bucket in linededup._pairs(cut, np.array([0]), None):
+            total += np.bincount(bucket, minlength=len(total))
+    assert (linededup._rare(docs) == np.log2(np.maximum(total, 1)).astype(np.uint8)).all()
+
+
 def test_top_k(spark):
     rows = [(k, [random.choice([0.0, 0.5, -0.25, 1.1]) for _ in range(6)]) for k in range(300)]
     rows += [(400, None), (450, []), (500, [1.0, None]), (550, [float("nan"), 1.0]), (600, [2.0]), (None, [1.0]), (50, [9.0] * 6)]
