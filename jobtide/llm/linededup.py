@@ -29,7 +29,7 @@ they are ordered: what is left out of a prefix is fewer pairs than must be share
 from a sample, which changes the work but not what is found. Keys travel as bytes, a row for all keys of a part that a
 task has met. Lines are compared with the earliest line of each of their keys that may be within the bound by the number of its words
 and by its marks, then those still open with every such one; the words decide. Marks are bits, each word turning one over, so an edit turns
-two at most. Shared keys are gone through in `PASSES` passes, and tables and shuffle files go as soon as they are read, since the keys
+two at most, or one if it puts a word in or takes it out. Shared keys are gone through in `PASSES` passes, and tables and shuffle files go as soon as they are read, since the keys
 of all lines are larger than the texts as stored.
 
 Order is by doc_id (nulls first), a hash of the text, and the line's number. Rows that repeat both id and
@@ -238,11 +238,11 @@ def _map(slots: DataFrame, count: int) -> Bits | None:
         else:
             whole[(b - 1) * 4096 : (b - 1) * 4096 + len(bits)] = bits
     # slot s > 0 is bit s - 1 of the buckets
-    shifted = np.unpackbits(np.frombuffer(bytes(whole), np.uint8), bitorder="little")
-    out = np.zeros(size, np.uint8)
-    out[1:] = shifted[: size - 1]
-    out[0] = zero
-    return Bits(size, np.packbits(out, bitorder="little").tobytes())
+    bits = np.frombuffer(whole, np.uint8)[: max(size // 8, 1)]
+    out = bits << np.uint8(1)
+    out[1:] |= bits[:-1] >> np.uint8(7)
+    out[0] |= zero
+    return Bits(size, out.tobytes())
 
 
 def _document():
@@ -465,23 +465,24 @@ def _gathered(batches: Iterator[pa.RecordBatch], *kinds: str | np.dtype) -> Iter
         yield part, [np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in enumerate(kinds)]
 
 
-class _Dealer:
-    """Gathers keys and lines until they are worth dealing out by the first bits of the key."""
+def _in_bulk(pieces: Iterator[tuple[np.ndarray, ...]], most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of some pieces in one, as soon as they have so many rows: few rows are not worth dealing out."""
+    held, size = [], 0
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece[0])
+        if size >= most:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, size = [], 0
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
-    def __init__(self, bits: int) -> None:
-        self.shift, self.held, self.size = np.uint64(64 - bits), [], 0
 
-    def put(self, key: np.ndarray, whole: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append((key.view(np.uint64), whole))
-        self.size += len(key)
-        if self.size >= DEALT:
-            yield from self.rest()
-
-    def rest(self) -> Iterator[pa.RecordBatch]:
-        if self.size:
-            key, whole = (np.concatenate(x) for x in zip(*self.held, strict=True))
-            self.held, self.size = [], 0
-            yield _dealt(key >> self.shift, keys=key.astype(np.uint32), wholes=whole)
+def _dealt_keys(pieces: Iterator[tuple[np.ndarray, np.ndarray]], bits: int) -> Iterator[pa.RecordBatch]:
+    """Keys and their lines, dealt out by the first bits of the key."""
+    for key, whole in _in_bulk(pieces, DEALT):
+        key = key.view(np.uint64)
+        yield _dealt(key >> np.uint64(64 - bits), keys=key.astype(np.uint32), wholes=whole)
 
 
 DEALT_KEYS = "part int, keys binary, wholes binary"
@@ -492,8 +493,8 @@ def _keys(docs: DataFrame, suspects: Bits | None, least: int) -> DataFrame:
     spark = docs.sparkSession
     sent, bits = spark.sparkContext.broadcast((_rare(docs), suspects)), _part_bits(spark)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (rare, suspects), dealer = sent.value, _Dealer(bits)
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        rare, suspects = sent.value
         for batch in batches:
             for _, texts in _chunks(batch.column(0)):
                 cut = Cut(texts)
@@ -504,28 +505,25 @@ def _keys(docs: DataFrame, suspects: Bits | None, least: int) -> DataFrame:
                 line, a, n = line[one], a[one], (b - a)[one]
                 some = np.flatnonzero(n >= PAIR_WORDS)
                 for key, owner in _pair_keys(cut, line[some], n[some], rare):
-                    yield from dealer.put(key, whole[some[owner]])
+                    yield key, whole[some[owner]]
                 some = np.arange(len(n)) if suspects is None else np.flatnonzero(suspects.there(whole >> 2))
                 for key, owner in _variant_keys(cut, a[some], n[some]):
-                    yield from dealer.put(key, whole[some[owner]])
-        yield from dealer.rest()
+                    yield key, whole[some[owner]]
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, DEALT_KEYS)
+    return docs.select(F.col("text").cast("string")).mapInArrow(lambda batches: _dealt_keys(keys(batches), bits), DEALT_KEYS)
 
 
 def _halves(found: DataFrame) -> DataFrame:
     """The halves of lines as keys."""
     bits = _part_bits(found.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = _Dealer(bits)
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             half = batch.column(1)
-            yield from dealer.put(half.flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(), np.diff(half.offsets.to_numpy())))
-        yield from dealer.rest()
+            yield half.flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(), np.diff(half.offsets.to_numpy()))
 
     # lines of fewer words than these have none but equal partners
-    return found.where(F.col("n") >= NEAR_WORDS - 1).select("whole", "halves").mapInArrow(run, DEALT_KEYS)
+    return found.where(F.col("n") >= NEAR_WORDS - 1).select("whole", "halves").mapInArrow(lambda batches: _dealt_keys(keys(batches), bits), DEALT_KEYS)
 
 
 def _shared(dealt: DataFrame) -> DataFrame:
@@ -557,11 +555,12 @@ def _distinct_lines(shared: DataFrame) -> DataFrame:
 
 def _close(n: np.ndarray, marks: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether lines may be within the bound, by the number of their words and their marks."""
-    most = np.maximum(n[i], n[j])
-    out = np.abs(n[i] - n[j]) * NEAR_WORDS <= most
+    most, more = np.maximum(n[i], n[j]), np.abs(n[i] - n[j])
+    out = more * NEAR_WORDS <= most
     some = np.flatnonzero(out)
-    turned = np.bitwise_count(marks[i[some]] ^ marks[j[some]]).sum(1)
-    out[some] = turned <= 2 * (most[some] // NEAR_WORDS)
+    # words that one line has and the other has not, on both sides, are no fewer than the bits that differ; an edit takes one of each side
+    turned = np.bitwise_count(marks[i[some]] ^ marks[j[some]]).sum(1, dtype=np.int64)
+    out[some] = turned + more[some] <= 2 * (most[some] // NEAR_WORDS)
     return out
 
 
@@ -608,16 +607,16 @@ def _candidates(shared: DataFrame, firsts: DataFrame, again: Bits | None, every:
     sent, bits = spark.sparkContext.broadcast(again), _part_bits(spark)
     shift = np.uint64(64 - bits)
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             whole = batch.column(0).to_numpy()
             rows = np.zeros(len(whole), KNOWN)
             rows["ord"], rows["n"] = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             rows["marks"] = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(len(whole), -1)
             rows["open"] = sent.value is None or sent.value.there(whole >> 2)
-            yield _dealt(whole.view(np.uint64) >> shift, wholes=whole, known=rows, keys=np.empty(len(whole), "V0"))
+            yield whole, rows
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             for part, key, whole in zip(*batch.columns, strict=True):
                 key, whole = np.frombuffer(key.as_buffer(), "<u4"), np.frombuffer(whole.as_buffer(), "<i8")
@@ -626,9 +625,15 @@ def _candidates(shared: DataFrame, firsts: DataFrame, again: Bits | None, every:
                     group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
                     some = np.bincount(group, sent.value.there(whole >> 2))[group] > 0
                     key, whole = key[some], whole[some]
-                if len(whole):
-                    key = np.uint64(part.as_py()) << np.uint64(32) | key.astype(np.uint64)
-                    yield _dealt(whole.view(np.uint64) >> shift, wholes=whole, known=np.empty(len(whole), "V0"), keys=key)
+                yield whole, np.uint64(part.as_py()) << np.uint64(32) | key.astype(np.uint64)
+
+    def known_dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, rows in _in_bulk(known(batches), DEALT // 4):
+            yield _dealt(whole.view(np.uint64) >> shift, wholes=whole, known=rows, keys=np.empty(len(whole), "V0"))
+
+    def entries_dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, keys in _in_bulk(entries(batches), DEALT // 4):
+            yield _dealt(whole.view(np.uint64) >> shift, wholes=whole, known=np.empty(len(whole), "V0"), keys=keys)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
@@ -659,7 +664,7 @@ def _candidates(shared: DataFrame, firsts: DataFrame, again: Bits | None, every:
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["ord", "near"])
 
     dealt = "part int, wholes binary, known binary, keys binary"
-    lines_of = firsts.select("whole", "ord", "n", "marks").mapInArrow(known, dealt).unionByName(shared.select("part", "keys", "wholes").mapInArrow(entries, dealt))
+    lines_of = firsts.select("whole", "ord", "n", "marks").mapInArrow(known_dealt, dealt).unionByName(shared.select("part", "keys", "wholes").mapInArrow(entries_dealt, dealt))
     return lines_of.repartition("part").mapInArrow(met, "part int, keys binary, known binary").repartition("part").mapInArrow(pairs, "ord long, near long")
 
 

@@ -316,6 +316,18 @@ def test_earliest_lines_then_every_line():
     assert pairs(True) == {(5, 0), (5, 2), (5, 3)}
 
 
+def test_lines_are_dealt_out_in_bulk(spark):
+    """As many rows as parts, not parts times batches, and no entry lost; a row holds what its part has."""
+    pieces = [(np.arange(k, dtype=np.int64), np.full(k, k)) for k in (3, 0, 5, 4, 0)]
+    bulk = list(linededup._in_bulk(iter(pieces), 6))
+    assert [len(x) for x, _ in bulk] == [8, 4] and np.concatenate([y for _, y in bulk]).tolist() == [3] * 3 + [5] * 5 + [4] * 4
+    assert not list(linededup._in_bulk(iter(pieces[1:2]), 6))
+    key = np.array([5, 2**63, 7, 2**63 + 9], np.uint64)
+    (batch,) = linededup._dealt_keys(iter([(key, np.arange(4))]), 1)
+    held = {part: [x.tolist() for x in columns] for part, columns in linededup._gathered(iter([batch, batch]), "<u4", "<i8")}
+    assert held == {0: [[5, 7, 5, 7], [0, 2, 0, 2]], 1: [[0, 9, 0, 9], [1, 3, 1, 3]]}
+
+
 def test_pair_counts_are_whole(spark):
     """Counts of pairs come to the driver as bytes and are those of every sampled text."""
     rows = [(k, " ".join(f"w{k % 5}x{j}" for j in range(9))) for k in range(400)]
